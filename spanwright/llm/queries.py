@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.functions.instants import instant_us
+from spanwright.llm.consensus import Consensus, on_scale, usable
+from spanwright.llm.encoding import encode
 from spanwright.llm.patterns import frequent
 from spanwright.llm.runs import collapse
 from spanwright.llm.steps import error_key, step_of, tool_key
@@ -38,7 +40,33 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p.select(*[F.col("steps")[i].alias(f"step_{i + 1}") for i in range(3)], "support")
 
 
-QUERIES = {"p5_found": p5_found, "p5_runs": p5_runs, "p7_found": p7_found}
+SCALE = ["resolved", "partly_resolved", "unresolved", "harmful"]
+
+
+def _consensus(spark: SparkSession, d: str) -> Consensus:
+    return Consensus(usable(table(spark, d, "agreement_ratings"), "item_id", "rater_id", on_scale(F.col("label"), SCALE), "rated_at", 3))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d).items.select(F.col("_i").alias("item_id"), "label")
+
+
+def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Per item the number of raters and the share of agreeing pairs among them."""
+    i = _consensus(spark, d).items
+    return i.select(F.col("_i").alias("item_id"), "n_annotators", F.round("agreement", 6).alias("agreement"))
+
+
+def p3_raters(spark: SparkSession, d: str) -> DataFrame:
+    a = _consensus(spark, d).annotators
+    return a.select(F.col("_a").alias("rater_id"), "n_labels", F.round("accuracy", 6).alias("accuracy"), F.round("weight", 6).alias("reliability"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p3_found": p3_found, "p3_agreement": p3_agreement, "p3_raters": p3_raters, "p8_ids": p8_ids, "p5_found": p5_found, "p5_runs": p5_runs, "p7_found": p7_found}
 
 _EVENTS = r"""
 WITH once AS (
@@ -64,6 +92,12 @@ _RUNS = _EVENTS + r""", ev AS (
 """
 
 SQL = {
+    "p3_agreement": r"""
+    WITH u AS (
+      SELECT item_id, rater_id, rated_at, regexp_replace(lower(trim(label)), '[ -]', '_', 'g') AS l FROM agreement_ratings WHERE item_id IS NOT NULL AND rater_id IS NOT NULL
+    ), o AS (SELECT item_id, rater_id, arg_max(l, rated_at) AS l FROM u WHERE l IN ('resolved', 'partly_resolved', 'unresolved', 'harmful') GROUP BY ALL),
+    c AS (SELECT item_id, l, count(*) AS v FROM o GROUP BY ALL)
+    SELECT item_id, CAST(sum(v) AS BIGINT) AS n_annotators, round(sum(v * (v - 1)) / (sum(v) * (sum(v) - 1.0)), 6) AS agreement FROM c GROUP BY item_id HAVING sum(v) >= 3""",
     "p5_found": _RUNS + "SELECT trace_id, first_span_id, last_span_id, n_events FROM r WHERE n_events >= 2",
     "p5_runs": _RUNS + "SELECT * FROM r",
     "p7_found": _EVENTS
