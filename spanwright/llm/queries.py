@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from spanwright.functions.instants import instant_us
 from spanwright.llm.consensus import Consensus, on_scale, usable
 from spanwright.llm.encoding import encode
+from spanwright.llm.leakage import leaks
 from spanwright.llm.patterns import frequent
 from spanwright.llm.runs import collapse
+from spanwright.llm.shared import SharedStretches
 from spanwright.llm.steps import error_key, step_of, tool_key
 from spanwright.session import table
 
@@ -66,7 +68,20 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_agreement": p3_agreement, "p3_raters": p3_raters, "p8_ids": p8_ids, "p5_found": p5_found, "p5_runs": p5_runs, "p7_found": p7_found}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return SharedStretches(table(spark, d, "documents"), "doc_id", "text").pairs().select(F.col("_a").alias("doc_id_a"), F.col("_b").alias("doc_id_b"))
+
+
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document of 500 characters or more how much stands elsewhere too."""
+    return SharedStretches(table(spark, d, "documents"), "doc_id", "text").coverage().withColumnRenamed("_d", "doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_agreement": p3_agreement, "p3_raters": p3_raters, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shared": p10_shared, "p5_found": p5_found, "p5_runs": p5_runs, "p7_found": p7_found}
 
 _EVENTS = r"""
 WITH once AS (
