@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwright.functions.instants import instant_us
 from spanwright.llm.consensus import Consensus, on_scale, usable
+from spanwright.llm.defects import defects
 from spanwright.llm.encoding import encode
 from spanwright.llm.leakage import leaks
 from spanwright.llm.patterns import frequent
@@ -81,7 +82,11 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return SharedStretches(table(spark, d, "documents"), "doc_id", "text").coverage().withColumnRenamed("_d", "doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_agreement": p3_agreement, "p3_raters": p3_raters, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shared": p10_shared, "p5_found": p5_found, "p5_runs": p5_runs, "p7_found": p7_found}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects(table(spark, d, "cases"), "id", "input", "actual_output", "expected_output").withColumnRenamed("id", "case_id")
+
+
+QUERIES = {"p4_found": p4_found, "p3_found": p3_found, "p3_agreement": p3_agreement, "p3_raters": p3_raters, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shared": p10_shared, "p5_found": p5_found, "p5_runs": p5_runs, "p7_found": p7_found}
 
 _EVENTS = r"""
 WITH once AS (
