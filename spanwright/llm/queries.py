@@ -11,6 +11,7 @@ from spanwright.llm.defects import defects
 from spanwright.llm.encoding import encode
 from spanwright.llm.leakage import leaks
 from spanwright.llm.patterns import frequent
+from spanwright.llm.personal import personal
 from spanwright.llm.runs import collapse
 from spanwright.llm.shared import SharedStretches
 from spanwright.llm.steps import error_key, step_of, tool_key
@@ -86,7 +87,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return defects(table(spark, d, "cases"), "id", "input", "actual_output", "expected_output").withColumnRenamed("id", "case_id")
 
 
-QUERIES = {"p4_found": p4_found, "p3_found": p3_found, "p3_agreement": p3_agreement, "p3_raters": p3_raters, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shared": p10_shared, "p5_found": p5_found, "p5_runs": p5_runs, "p7_found": p7_found}
+def _personal(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    fields = {"input": F.col("input"), "output": F.col("output"), "input.value": F.try_element_at(F.col("attributes"), F.lit("input.value"))}
+    s = table(spark, d, "spans").withColumnRenamed("id", "span_id")
+    return personal(s, ["trace_id", "span_id"], fields, with_text=with_text).distinct()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d, False)
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All texts of spans with placeholders for personal items."""
+    return _personal(spark, d, True)
+
+
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p4_found": p4_found, "p3_found": p3_found, "p3_agreement": p3_agreement, "p3_raters": p3_raters, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shared": p10_shared, "p5_found": p5_found, "p5_runs": p5_runs, "p7_found": p7_found}
 
 _EVENTS = r"""
 WITH once AS (
