@@ -41,3 +41,25 @@ def with_slices(df: DataFrame, key: str, order: str, scratch: Scratch, limit: in
     )
     cut = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda b: b < F.col(order))))
     return df.join(bounds, key, "left").withColumn("_slice", cut).drop("_cuts"), True
+
+
+def running(df: DataFrame, key: str, order: str, sums: dict[str, str], limit: int = LIMIT) -> DataFrame:
+    """Adds running sums over the rows of each ``key`` in the order of the bigint column ``order``, the row's own value included.
+
+    ``sums``: new column to SQL expression. Rows with equal order get equal sums. Huge keys are cut into slices; the sums of
+    earlier slices come from one row a slice.
+    """
+    from pyspark.sql import Window as W
+
+    scratch = Scratch(df.sparkSession, "running")
+    rows, cut = with_slices(df, key, order, scratch, limit)
+    if cut:
+        rows = scratch.keep(rows)
+    w = W.partitionBy(key, "_slice").orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow)
+    out = rows.withColumns({c: F.sum(F.expr(e)).over(w) for c, e in sums.items()})
+    if cut:
+        before = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+        totals = rows.groupBy(key, "_slice").agg(*[F.sum(F.expr(e)).alias(f"_t_{c}") for c, e in sums.items()])
+        totals = totals.select(key, "_slice", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
+        out = out.join(totals, [key, "_slice"]).withColumns({c: F.col(c) + F.col(f"_b_{c}") for c in sums}).drop(*[f"_b_{c}" for c in sums])
+    return out.drop("_slice")
