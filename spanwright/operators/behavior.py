@@ -43,8 +43,8 @@ KEYS = {
     "predicate": ["agent.state.predicate", "tool.state.predicate", "state.predicate"],
     "artifact": ["agent.state.artifact.id", "tool.state.artifact.id", "state.artifact.id"],
     "state_delta": ["state_delta", "agent.state_delta", "state.delta"],
-    "invocation": ["traceeval.tool.invocation", "gen_ai.tool.call.arguments", "tool.arguments", "tool.parameters", "input.value", "input"],
-    "result": ["traceeval.tool.result", "gen_ai.tool.call.result", "tool.result", "output.value", "output"],
+    "invocation": ["gen_ai.tool.call.arguments", "tool.arguments", "tool.parameters", "input.value", "input"],
+    "result": ["gen_ai.tool.call.result", "tool.result", "output.value", "output"],
     "policy_outcome": ["agent.policy.outcome", "policy.decision.outcome", "policy.outcome", "guardrail.outcome"],
     "decision_id": ["policy.decision.id", "decision_id"],
     "policy_id": ["policy.id", "policy.version", "policy_version"],
@@ -74,7 +74,7 @@ def spans_once(spans: DataFrame, *columns: str) -> DataFrame:
     """One row for each (trace_id, id), with the named columns of the row that was ingested first."""
     rows = spans.filter(F.col("trace_id").isNotNull() & F.col("id").isNotNull())
     columns = tuple(c for c in columns if c not in ("trace_id", "id"))
-    when = F.col("ingested_at") if "ingested_at" in spans.columns else F.lit(0)
+    when = F.struct(F.col("ingested_at").isNull(), "ingested_at") if "ingested_at" in spans.columns else F.struct(F.lit(0))
     picked = rows.groupBy("trace_id", "id").agg(F.min_by(F.struct(*columns), when).alias("_s"))
     return picked.select("trace_id", "id", *[F.col(f"_s.{c}").alias(c) for c in columns])
 

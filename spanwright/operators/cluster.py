@@ -265,7 +265,9 @@ def silhouettes(table: DataFrame, key: str, vector: str, label: str) -> DataFram
     """
     def unit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[object, list] = {}
+        type_ = None
         for b in parts:
+            type_ = b.column(0).type
             ok, x = _matrix(b.column(1))
             n = np.linalg.norm(x, axis=1, keepdims=True)
             x = np.divide(x, n, out=np.zeros_like(x, np.float64), where=n > 0)
@@ -276,7 +278,7 @@ def silhouettes(table: DataFrame, key: str, vector: str, label: str) -> DataFram
                 s[0] += int(at.sum())
                 s[1] = s[1] + x[at].sum(0)
         if sums:
-            yield pa.RecordBatch.from_pydict({"l": list(sums), "n": [s[0] for s in sums.values()], "v": [s[1].tolist() for s in sums.values()]})
+            yield pa.RecordBatch.from_pydict({"l": pa.array(list(sums), type_), "n": [s[0] for s in sums.values()], "v": [s[1].tolist() for s in sums.values()]})
 
     kind = table.schema[label].dataType.simpleString()
     rows = table.filter(F.col(label).isNotNull() & F.col(vector).isNotNull())

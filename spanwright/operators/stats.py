@@ -170,7 +170,7 @@ def agreement(ratings: DataFrame) -> DataFrame:
     observed = pairable.agg(F.sum(F.col("_m") * (F.col("_m") - 1)).alias("_pairs"), F.sum(F.col("_m") ** 2 - F.col("_sq")).alias("_dis"))
     totals = c.join(pairable.select("item_id"), "item_id", "left_semi").groupBy("label").agg(F.sum("n").alias("_t")).agg(F.sum("_t").alias("_N"), F.sum(F.col("_t") ** 2).alias("_T2"))
     heads = ratings.agg(F.count_distinct("item_id").alias("item_count"), F.count_distinct("rater_id").alias("rater_count"), F.count(F.lit(1)).alias("rating_count"))
-    dis = i.agg(F.count_if("_labels > 1").alias("disagreement_items"))
+    dis = i.agg(F.count_if(F.col("_labels") > 1).alias("disagreement_items"))
     d_o = F.col("_dis") / F.nullif(F.col("_pairs"), F.lit(0))
     d_e = (F.col("_N") ** 2 - F.col("_T2")) / F.nullif(F.col("_N") * (F.col("_N") - 1), F.lit(0))
     row = heads.crossJoin(dis).crossJoin(observed).crossJoin(totals)  # one row each
