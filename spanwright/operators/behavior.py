@@ -16,6 +16,7 @@ from spanwright.functions.attributes import alias_value, as_bool, attr, attr_boo
 from spanwright.functions.instants import instant_us
 from spanwright.functions.text import ascii_lower, canonical_json, hash_text, is_identity, is_label
 from spanwright.operators.slices import running
+from spanwright.session import Scratch
 
 # Attribute keys, in the order of their precedence, and spellings of values.
 KEYS = {
@@ -218,6 +219,8 @@ def calls(spans: DataFrame, mappings: DataFrame | None = None, safe: bool = Fals
         F.when(changed & is_label(predicate), predicate).alias("predicate"),
         F.when(changed, artifact).alias("artifact"),
     )
+    # Written once: the places below look at the rows more than once.
+    s = Scratch(spans.sparkSession, "calls").keep(s)
     s = running(s, "trace_id", "pos", {"_n": "cast(1 as bigint)"}).withColumn("idx", F.col("_n") - 1).drop("_n")
     pair = s.withColumn("_pair", F.to_json(F.struct("trace_id", "tool_name", "operation")))
     s = running(pair, "_pair", "pos", {"_n": "cast(1 as bigint)"}).withColumn("attempt", F.coalesce("_attempt", "_n")).drop("_n", "_attempt", "_pair")
