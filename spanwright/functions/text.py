@@ -118,3 +118,26 @@ def log_loss(p: Column, label: Column) -> Column:
 
 def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
+
+
+# Names of fields that hold secrets, and forms of credentials.
+SECRET_NAMES = r"(?i)(password|passwd|secret|api[_-]?key|access[_-]?token|auth[_-]?token|private[_-]?key|credential|bearer)"
+CREDENTIALS = [r"(?i)\b(password|passwd|secret|api[_-]?key|token)\s*[:=]\s*\S{6,}", r"\bsk-[A-Za-z0-9_-]{16,}", r"\bAKIA[0-9A-Z]{16}\b", r"\bgh[pousr]_[A-Za-z0-9]{20,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\."]
+
+
+def leaks_secret(text: Column) -> Column:
+    """Whether a text, or what it says in base64, holds the form of a credential."""
+    def plain(t: Column) -> Column:
+        out = F.lit(False)
+        for p in CREDENTIALS:
+            out = out | t.rlike(p)
+        return out
+
+    packed = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9+/]{24,}={0,2})"), F.lit(1))
+    opened = F.transform(packed, lambda x: F.decode(F.try_to_binary(F.rpad(x, (F.ceil(F.length(x) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64")), "ISO-8859-1"))
+    return F.coalesce(plain(text), F.lit(False)) | F.exists(F.coalesce(opened, F.array().cast("array<string>")), lambda x: F.coalesce(plain(x), F.lit(False)))
+
+
+def secret_names(attributes: Column) -> Column:
+    """The keys of a map that name secrets."""
+    return F.filter(F.map_keys(attributes), lambda k: k.rlike(SECRET_NAMES))

@@ -344,3 +344,41 @@ class InvertedLists:
             return out
 
         return _search(queries, self.rows, self.key, self.vector, k, self.metric, chosen)
+
+
+def dbscan(*_: object, **__: object) -> None:
+    """Density clustering is named in the interface but not implemented."""
+    raise NotImplementedError("density clustering is not implemented; use discover()")
+
+
+def eval_clusters(model: DataFrame) -> DataFrame:
+    """Clusters of a model as (id, label, description, weight, metadata): an unlabelled one is called by its id."""
+    label = F.coalesce("label", "id") if "label" in model.columns else F.col("id")
+    text = F.col("description") if "description" in model.columns else F.lit(None).cast("string")
+    return model.select("id", label.alias("label"), text.alias("description"), F.lit(1.0).alias("weight"), F.create_map(F.lit("cluster_size"), F.col("size").cast("string"), F.lit("cluster_radius"), F.col("radius").cast("string")).alias("metadata"))
+
+
+def validate_model(model: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Issues (``code``, ``id``) of a cluster model: repeated or blank ids, sizes that differ from the assignments, assignments to unknown clusters, no centroid."""
+    n = assignments.groupBy(F.col("cluster_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    of = lambda df, code: df.select(F.lit(code).alias("code"), "id")
+    out = of(model.groupBy("id").count().filter("count > 1"), "duplicate_cluster").unionByName(of(model.filter(F.coalesce(trim_u(F.col("id")) == "", F.lit(True))), "missing_cluster_id"))
+    out = out.unionByName(of(model.join(n, "id", "left").filter(F.coalesce("_n", F.lit(0)) != F.col("size")), "size_mismatch")).unionByName(of(n.filter(F.col("id") != FALLBACK).join(model.select("id"), "id", "left_anti"), "unknown_cluster"))
+    return out.unionByName(of(model.filter(F.col("centroid").isNull() | (F.size("centroid") < 1)), "missing_centroid"))
+
+
+def row_map(records: DataFrame, external: str) -> DataFrame:
+    """(``row_id`` bigint from 0, ``external_id``): numbers for the distinct external ids, in their order. Numbering is by sorted ranges, no single task."""
+    ids = records.filter(F.col(external).isNotNull()).select(F.col(external).cast("string").alias("external_id")).distinct().repartitionByRange("external_id").sortWithinPartitions("external_id")
+    from spanwright.session import Scratch
+
+    kept = Scratch(records.sparkSession, "rows").keep(ids.withColumn("_p", F.spark_partition_id()))
+    n = kept.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    base = n.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    at = F.row_number().over(W.partitionBy("_p").orderBy("external_id")) - 1
+    return kept.withColumn("_i", at).join(F.broadcast(base), "_p").select((F.col("_i") + F.col("_b")).cast("long").alias("row_id"), "external_id")
+
+
+def unmapped(rows: DataFrame, mapping: DataFrame, external: str) -> DataFrame:
+    """Rows whose external id has no number."""
+    return rows.join(mapping.select(F.col("external_id").alias(external)), external, "left_anti")

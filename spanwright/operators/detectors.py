@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -68,9 +69,12 @@ class Facts:
 
     @staticmethod
     def of(spans: DataFrame, mappings: DataFrame | None = None, safe: bool = False, keep: bool = True) -> Facts:
-        scratch = Scratch(spans.sparkSession, "facts")
-        k = scratch.keep if keep else (lambda df: df)
-        return Facts(k(B.calls(spans, mappings, safe)), k(B.outcomes(spans)), k(B.claims(spans)), k(B.decisions(spans)), B.coverage(spans))
+        tables = [lambda: B.calls(spans, mappings, safe), lambda: B.outcomes(spans), lambda: B.claims(spans), lambda: B.decisions(spans)]
+        if not keep:
+            return Facts(*[t() for t in tables], B.coverage(spans))
+        with ThreadPoolExecutor(len(tables)) as pool:  # four independent jobs, side by side
+            kept = [pool.submit(lambda t=t: Scratch(spans.sparkSession, "facts").keep(t())) for t in tables]
+            return Facts(*[k.result() for k in kept], B.coverage(spans))
 
     def recovery(self) -> DataFrame:
         if self._recovery is None:

@@ -39,10 +39,11 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: str) -> tuple[Dat
 
 
 def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    # The check for blank lines stands in ``_bad`` too: the optimizer may judge a line before it drops it.
     lines = spark.read.text(path).filter(trim_u(F.col("value")) != "")
     typed = T._parse_datatype_string(f"{schema}, _corrupt string")
     r = lines.select("value", F.from_json("value", typed, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    return r.select("value", F.col("r").dropFields("_corrupt").alias("r"), (F.col("r").isNull() | F.col("r._corrupt").isNotNull() | ~F.ltrim("value").startswith("{")).alias("_bad"))
+    return r.select("value", F.col("r").dropFields("_corrupt").alias("r"), ((trim_u(F.col("value")) != "") & (F.col("r").isNull() | F.col("r._corrupt").isNotNull() | ~trim_u(F.col("value")).startswith("{"))).alias("_bad"))
 
 
 def read_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
