@@ -63,3 +63,16 @@ def running(df: DataFrame, key: str, order: str, sums: dict[str, str], limit: in
         totals = totals.select(key, "_slice", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
         out = out.join(totals, [key, "_slice"]).withColumns({c: F.col(c) + F.col(f"_b_{c}") for c in sums}).drop(*[f"_b_{c}" for c in sums])
     return out.drop("_slice")
+
+
+def hashed_sample(df: DataFrame, hashed: str, n: int, rows: int | None = None) -> DataFrame:
+    """At most ``n`` rows: those with the least hashes of the column ``hashed``.
+
+    ``rows``: an upper bound of the row count, counted if not given. A cut of the hashes, wide enough for ``n`` rows, keeps what tasks
+    send to be ordered near ``n`` rows in all, however many tasks there are.
+    """
+    rows = df.count() if rows is None else rows
+    h = F.xxhash64(hashed)
+    if rows > 4 * n:
+        df = df.filter(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * 4 * n / rows))
+    return df.withColumn("_h", F.pmod(h, F.lit(1 << 30))).orderBy("_h", hashed).limit(n).drop("_h")

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanwright.operators.slices import hashed_sample
+
 # The quantile of the 95 % interval, and the bootstrap's seed and resamples.
 Z95 = 1.959963984540054
 BOOTSTRAP_SEED = 0x54544502
@@ -220,7 +222,8 @@ class Logistic:
 
 def fit_logistic(df: DataFrame, features: list[str], label: str, key: str, l2: float = 1.0, sample: int = 200_000, most_rounds: int = 10_000, tolerance: float = 1e-8) -> Logistic:
     """Fits on the ``sample`` rows with the least hashes of ``key``: mean log loss plus ``l2``/2 of the squared coefficients a row, by Newton steps with halving."""
-    rows = df.filter(F.col(label).isNotNull()).select(*[F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("_y"), F.xxhash64(key).alias("_h")).orderBy("_h", *[f"_{i}" for i in range(len(features))], "_y").limit(sample).drop("_h").toPandas().to_numpy(float)
+    rows = df.filter(F.col(label).isNotNull()).select(*[F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("_y"), F.col(key).alias("_k"))
+    rows = hashed_sample(rows, "_k", sample).orderBy("_k", *[f"_{i}" for i in range(len(features))], "_y").drop("_k").toPandas().to_numpy(float)
     y, x = rows[:, -1], rows[:, :-1]
     if len(y) == 0 or y.min() == y.max():
         raise ValueError("a fit needs both classes")
