@@ -188,6 +188,11 @@ def _of(detector: str) -> str:
     return _CALLS + _FOUND.format(id=_hashed(["trace_id", f"'{detector}'", "'6'", "'span:' || span_id"]), sig=_hashed([f"'{detector}'", "tool_name", "coalesce(operation, '')", "coalesce(error_kind, '')"]))
 
 
+_ALL = """, f AS (SELECT 'terminal_tool_failure' AS detector_id, 'high' AS severity, trace_id FROM rec WHERE requirement = 'required' AND status IN ('failed', 'timed_out', 'cancelled') AND recovery = 'unrecovered'
+  UNION ALL SELECT 'uncertain_mutation_state', 'high', trace_id FROM rec WHERE effect = 'mutating' AND status IN ('timed_out', 'unknown') AND recovery <> 'recovered'
+  UNION ALL SELECT 'missing_resolution', 'medium', trace_id FROM outcomes WHERE final_status IN ('incomplete', 'unknown')
+  UNION ALL SELECT 'excessive_tool_usage', 'medium', trace_id FROM calls GROUP BY trace_id HAVING count(*) > 25 OR sum(duration_ms) > 60000)"""
+
 SQL = {
     "tool_calls": _CALLS + "SELECT trace_id, span_id, idx, call_id, tool_name, operation, operation_quality, effect, retry_safety, requirement, status, status_quality, error_kind, row_number() OVER (PARTITION BY trace_id, tool_name, operation ORDER BY pos) AS attempt, duration_ms, invocation_quality, progress FROM calls",
     "trace_outcomes": _CALLS + "SELECT trace_id, root_id, final_status, escalation FROM outcomes",
@@ -207,6 +212,24 @@ SQL = {
       walk AS (SELECT trace_id, seg, tool_name, who, fp, by_attr, ek, list(idx ORDER BY idx) AS l FROM q GROUP BY ALL),
       fold AS (SELECT trace_id, list_reduce(list_transform(l, lambda i: [[i, i, 1]]), lambda acc, x: CASE WHEN x[1][1] - acc[len(acc)][1] < 8 THEN list_concat(acc[1:len(acc) - 1], [[acc[len(acc)][1], x[1][1], acc[len(acc)][3] + 1]]) ELSE list_concat(acc, x) END) AS e FROM walk),
       u AS (SELECT trace_id, unnest(e) AS e FROM fold) SELECT trace_id, e[1] AS first_idx, e[2] AS last_idx, e[3] AS n FROM u WHERE e[3] >= 2""",
-    "first_success_after_failure": None,
+    "first_success_after_failure": _CALLS
+    + """, n AS (SELECT *, min(CASE WHEN status = 'succeeded' THEN struct_pack(p := pos, s := span_id) END) OVER (PARTITION BY trace_id, tool_name ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM calls)
+      SELECT trace_id, tool_name, pos AS failure_sequence, nxt.p AS success_sequence, nxt.s AS success_span_id FROM n WHERE status IN ('failed', 'timed_out')""",
+    "findings_by_detector": _CALLS + _ALL + " SELECT detector_id, severity, count(*) AS n, count(DISTINCT trace_id) AS traces FROM f GROUP BY ALL",
+    "kind_rates": _CALLS + _ALL + " SELECT detector_id AS kind, count(*) AS occurrence_count, count(DISTINCT trace_id) AS affected_trace_count, round(count(DISTINCT trace_id) / (SELECT count(DISTINCT trace_id) FROM spans), 6) AS affected_trace_rate FROM f GROUP BY ALL",
+    "detector_coverage": _CALLS
+    + """, g AS (SELECT trace_id, count(*) AS n, count(*) FILTER (status IN ('failed', 'timed_out', 'cancelled')) AS nf, count(*) FILTER (status IN ('failed', 'timed_out', 'cancelled') AND fp IS NOT NULL) AS nr, count(*) FILTER (fp IS NOT NULL) AS ne,
+        bool_and(status_quality = 'explicit') AS source_status, bool_and(operation IS NOT NULL) AS operation_identity, coalesce(bool_and(fp IS NOT NULL) FILTER (status IN ('failed', 'timed_out', 'cancelled')), true) AS invocation_fingerprint,
+        bool_and(duration_ms > 0) AS numeric_duration, coalesce(bool_and(requirement <> 'unknown') FILTER (status IN ('failed', 'timed_out', 'cancelled')), true) AS tool_requirement, bool_and(effect <> 'mutating') AS state_observation FROM calls GROUP BY trace_id),
+      t AS (SELECT o.trace_id, coalesce(n, 0) AS n, coalesce(nf, 0) AS nf, coalesce(nr, 0) AS nr, coalesce(ne, 0) AS ne, coalesce(source_status, true) AS source_status, coalesce(operation_identity, true) AS operation_identity, coalesce(invocation_fingerprint, true) AS invocation_fingerprint,
+        coalesce(numeric_duration, true) AS numeric_duration, coalesce(tool_requirement, true) AS tool_requirement, coalesce(state_observation, true) AS state_observation, true AS tool_identity, false AS policy_semantics,
+        (SELECT bool_or(coalesce(attributes['agent.final.status'] IS NOT NULL, false)) FROM once x WHERE x.trace_id = o.trace_id) AS final_outcome FROM outcomes o LEFT JOIN g ON g.trace_id = o.trace_id),
+      d(detector_id, facts, calls_only) AS (VALUES """
+    + ", ".join(f"('{k}', {v}, {k in D.NEEDS_CALLS})" for k, v in D.REQUIRED_FACTS.items())
+    + """),
+      x AS (SELECT t.*, d.detector_id, CASE WHEN calls_only AND n = 0 THEN [] ELSE facts END AS need FROM t, d),
+      m AS (SELECT *, list_filter(need, lambda f: NOT CASE f WHEN 'source_status' THEN source_status WHEN 'operation_identity' THEN operation_identity WHEN 'invocation_fingerprint' THEN invocation_fingerprint WHEN 'numeric_duration' THEN numeric_duration
+        WHEN 'tool_requirement' THEN tool_requirement WHEN 'state_observation' THEN state_observation WHEN 'tool_identity' THEN tool_identity WHEN 'policy_semantics' THEN policy_semantics ELSE final_outcome END) AS miss FROM x)
+      SELECT trace_id, detector_id, CASE WHEN CASE detector_id WHEN 'repeated_tool_failure' THEN nr >= 3 OR (nf < 3 AND source_status) WHEN 'tool_call_loop' THEN ne >= 4 OR n < 4 ELSE len(miss) = 0 END THEN 'evaluated' ELSE 'inconclusive' END AS status,
+        array_to_string(miss, ',') AS missing_facts, round(CASE WHEN len(need) = 0 THEN 1 ELSE (len(need) - len(miss)) / len(need) END, 6) AS semantic_coverage FROM m""",
 }
-SQL = {k: v for k, v in SQL.items() if v}

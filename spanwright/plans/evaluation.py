@@ -236,6 +236,14 @@ SQL = {
     "paired_results": f"{_HALVES} SELECT case_id, evaluator_name, evaluator_version, pairing, baseline_rows, candidate_rows FROM j",
     "case_gates": f"""{_HALVES}, g AS (SELECT case_id, count(*) FILTER (pairing = 'paired') AS paired_result_count, count(*) FILTER (pairing <> 'unexpected_candidate') AS nb, {_FAILS.format("count(*) FILTER (pairing = 'paired' AND NOT cp) AS failed_candidate_results,")} FROM j GROUP BY case_id)
       SELECT * EXCLUDE (nb), nb > 0 AND missing_candidate_results + unexpected_candidate_results + failed_candidate_results + unversioned_results + invalid_identity_results + invalid_score_results + duplicate_baseline_results + duplicate_candidate_results = 0 AS passed FROM g""",
+    "suite_gate": f"""{_HALVES}, suite AS (SELECT DISTINCT case_id FROM eval_results WHERE evaluated_at < TIMESTAMP '{SPLIT}' AND case_id IS NOT NULL), g AS (SELECT count(*) FILTER (pairing = 'paired') AS paired_result_count, {_FAILS.format("")},
+      count(*) FILTER (pairing = 'paired' AND bp AND NOT cp) AS regressed_results, coalesce(max(-delta), 0) AS largest_drop FROM j WHERE case_id IN (FROM suite))
+      SELECT *, CAST(0 AS BIGINT) AS missing_baseline_cases, paired_result_count > 0 AND regressed_results = 0 AND largest_drop <= 0 AND missing_candidate_results + unexpected_candidate_results + unversioned_results + invalid_identity_results + invalid_score_results + duplicate_baseline_results + duplicate_candidate_results = 0 AS passed FROM g""",
+    "rule_assign": f"""WITH {_K}, one AS (SELECT id, any_value(metadata) AS metadata, any_value(input) AS input, any_value(actual_output) AS actual_output, any_value(expected_output) AS expected_output, any_value(rubric) AS rubric FROM cases GROUP BY id),
+      m AS (SELECT o.id, min(k.id) AS cid FROM one o JOIN clusters k ON trim(o.metadata['cluster_id']) IN (k.id, k.label) GROUP BY o.id),
+      h AS (SELECT o.id, k.id AS cid, k.ord, len(list_filter(k.words, lambda w: contains(lower(concat_ws(chr(10), input, actual_output, expected_output, rubric)), w))) AS n FROM one o, clusters k), w AS (SELECT id, arg_max(cid, (n, -ord)) AS cid, max(n) AS n FROM h GROUP BY id HAVING max(n) > 0)
+      SELECT o.id AS case_id, coalesce(m.cid, w.cid, 'unclustered') AS cluster_id, round(CASE WHEN m.cid IS NOT NULL THEN 1 WHEN w.cid IS NOT NULL THEN least(0.6 + (w.n - 1) * 0.1, 0.9) ELSE 0 END::DOUBLE, 6) AS confidence, CASE WHEN m.cid IS NOT NULL THEN 'metadata' WHEN w.cid IS NOT NULL THEN 'keyword' ELSE 'fallback' END AS method
+      FROM one o LEFT JOIN m ON m.id = o.id LEFT JOIN w ON w.id = o.id WHERE o.id IS NOT NULL OR true""",
     "export_csv_rows": "SELECT DISTINCT coalesce(id, '') AS id, coalesce(trace_id, '') AS trace_id, coalesce(input, '') AS input, coalesce(actual_output, '') AS actual_output, coalesce(expected_output, '') AS expected_output, coalesce(rubric, '') AS rubric FROM cases",
     "export_openai_rows": "SELECT DISTINCT input, coalesce(expected_output, '') AS ideal, id AS case_id, trace_id FROM cases",
 }
