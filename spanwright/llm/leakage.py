@@ -31,6 +31,8 @@ SEED_ITEMS = 3
 SHARED = 12
 BLOCK = 20_000
 REACH = 24
+KEPT_WORDS = 200_000
+LONGEST = 40
 
 _MARK = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&[a-z]{2,6};|_")
 _WORD = re.compile(r"\w+")
@@ -45,10 +47,10 @@ def words(text: str | None) -> list[str]:
 
 
 def alike(a: str, b: str) -> bool:
-    """Misspelt: one edit or swap of neighbours apart (two for words of eight letters or more)."""
+    """Misspelt: one edit or swap of neighbours apart (two for words of eight letters or more); words beyond ``LONGEST`` letters only if equal."""
     n, m = len(a), len(b)
     most = 2 if max(n, m) >= 8 else 1
-    if abs(n - m) > most or min(n, m) < 2:
+    if abs(n - m) > most or min(n, m) < 2 or max(n, m) > LONGEST:
         return False
     i = 0
     while i < min(n, m) and a[i] == b[i]:
@@ -61,12 +63,41 @@ def alike(a: str, b: str) -> bool:
     return max(len(a), len(b)) <= most or (len(a) == len(b) == 2 and a == b[::-1])
 
 
+def _shorter(word: str) -> set[str]:
+    """A word and what is left of it without one letter (two, if its misspellings may be two edits apart)."""
+    out = {word}
+    for _ in range(2 if len(word) >= 6 else 1):
+        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+    return out
+
+
+class Spelling:
+    """Which words of a vocabulary a word may be a misspelling of. Words that are alike share a shortened form."""
+
+    def __init__(self, vocabulary: list[str]) -> None:
+        self.forms: dict[str, list[str]] = {}
+        for w in vocabulary:
+            for f in _shorter(w):
+                self.forms.setdefault(f, []).append(w)
+        self.known: dict[str, list[str]] = {}
+
+    def near(self, word: str) -> list[str]:
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) > KEPT_WORDS:
+                self.known = {}
+            # words beyond any in the vocabulary by more than two letters have no shortened form there
+            some = {v for f in _shorter(word) for v in self.forms.get(f, ())} if len(word) <= LONGEST else set()
+            got = self.known[word] = [v for v in some if alike(word, v)]
+        return got
+
+
 class Item:
     def __init__(self, item_id: object, text_words: list[str], counts: list[bool]) -> None:
         self.id, self.words, self.counts = item_id, text_words, np.array(counts, bool)
 
 
-def align(item: Item, doc: list[str], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+def align(item: Item, doc: list[str], lo: int, hi: int, spelling: Spelling) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman of the item with words lo..hi of a document. Per item word: its place in the document or -1, and 2 if equal, 1 if alike, 0 else."""
     a, b = item.words, doc[lo:hi]
     n, m = len(a), len(b)
@@ -79,7 +110,7 @@ def align(item: Item, doc: list[str], lo: int, hi: int) -> tuple[np.ndarray, np.
     for j in strange:
         w = b[j]
         if w not in near:
-            near[w] = [i for x, k in code.items() if alike(w, x) for i in np.flatnonzero(ca == k)]
+            near[w] = [i for x in spelling.near(w) if x in code for i in np.flatnonzero(ca == code[x])]
         for i in near[w]:
             score[i, j] = 1.0
     gap = 1.0
@@ -134,6 +165,7 @@ class Block:
         self.items = [Item(i, w, c) for i, w, c, _ in rows]
         self.code = {w: k for k, w in enumerate(dict.fromkeys(w for x in self.items for w in x.words))}
         self.size = len(self.code) + 1
+        self.spelling = Spelling(list(self.code))
         pairs = []
         for k, (_, w, _, seeds) in enumerate(rows):
             for s in seeds:
@@ -177,7 +209,7 @@ class Block:
                     continue
                 if len(group) > 1:
                     n = len(item.words)
-                    place, how = align(item, doc, max(0, group[0] - n), min(len(doc), group[-1] + n))
+                    place, how = align(item, doc, max(0, group[0] - n), min(len(doc), group[-1] + n), self.spelling)
                     s = stretch(item, place, how, least, changed)
                     if s:
                         found.append((*s, item.id))

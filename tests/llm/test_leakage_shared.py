@@ -115,3 +115,12 @@ def test_pairs_and_coverage_against_brute_force(spark):
         periodic = i in (9, 10, 13, 14, 15, 16, 17)
         assert cover[i][0] == len(a) and (0 < cover[i][1] <= hit.sum() if periodic else cover[i][1] == hit.sum()), i
     assert shared.SharedStretches(df.limit(0), "doc_id", "text").pairs().count() == 0
+
+
+def test_spelling_finds_what_is_alike():
+    r = random.Random(9)
+    voc = sorted({"".join(r.choice("abcde") for _ in range(r.randrange(1, 12))) for _ in range(400)})
+    s = leakage.Spelling(voc)
+    for _ in range(300):
+        w = "".join(r.choice("abcde") for _ in range(r.randrange(1, 13)))
+        assert sorted(s.near(w)) == sorted(v for v in voc if leakage.alike(w, v))
