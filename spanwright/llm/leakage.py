@@ -117,9 +117,9 @@ def align(item: Item, doc: list[str], lo: int, hi: int, spelling: Spelling) -> t
     h = np.zeros((n + 1, m + 1))
     ramp = gap * np.arange(m + 1)
     for i in range(n):
-        row = np.maximum(0, np.maximum(h[i, :-1] + score[i], h[i, 1:] - gap))
-        full = np.r_[0.0, row]
-        h[i + 1] = np.maximum(full, np.maximum.accumulate(full + ramp) - ramp)
+        np.maximum(h[i, :-1] + score[i], h[i, 1:] - gap, out=h[i + 1, 1:])
+        # Gaps along the row: the best of all places before, less their distance; 0 at least, as place 0 is 0.
+        h[i + 1] = np.maximum(np.maximum.accumulate(h[i + 1] + ramp) - ramp, 0)
     place, how = np.full(n, -1), np.zeros(n, np.int8)
     i, j = np.unravel_index(h.argmax(), h.shape)
     while i > 0 and j > 0 and h[i, j] > 0:
