@@ -216,6 +216,13 @@ SQL = {
     + """, n AS (SELECT *, min(CASE WHEN status = 'succeeded' THEN struct_pack(p := pos, s := span_id) END) OVER (PARTITION BY trace_id, tool_name ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM calls)
       SELECT trace_id, tool_name, pos AS failure_sequence, nxt.p AS success_sequence, nxt.s AS success_span_id FROM n WHERE status IN ('failed', 'timed_out')""",
     "findings_by_detector": _CALLS + _ALL + " SELECT detector_id, severity, count(*) AS n, count(DISTINCT trace_id) AS traces FROM f GROUP BY ALL",
+    "signature_groups": _CALLS
+    + f""", sg AS (SELECT {_hashed(["'terminal_tool_failure'", "tool_name", "coalesce(operation, '')", "coalesce(error_kind, '')"])} AS failure_signature, 'high' AS severity, trace_id FROM rec WHERE requirement = 'required' AND status IN ('failed', 'timed_out', 'cancelled') AND recovery = 'unrecovered'
+      UNION ALL SELECT {_hashed(["'uncertain_mutation_state'", "tool_name", "coalesce(operation, '')", "coalesce(error_kind, '')"])}, 'high', trace_id FROM rec WHERE effect = 'mutating' AND status IN ('timed_out', 'unknown') AND recovery <> 'recovered'
+      UNION ALL SELECT {_hashed(["'missing_resolution'", "'final_outcome'", "''", "''"])}, 'medium', trace_id FROM outcomes WHERE final_status IN ('incomplete', 'unknown')
+      UNION ALL SELECT {_hashed(["'excessive_tool_usage'", "'tool_budget'", "''", "''"])}, 'medium', trace_id FROM calls GROUP BY trace_id HAVING count(*) > 25 OR sum(duration_ms) > 60000)
+      SELECT 'sha256:' || sha256(encode('known_signature') || unhex(lpad(hex(octet_length(encode(failure_signature))), 16, '0')) || encode(failure_signature)) AS group_id, failure_signature, count(*) AS occurrence_count, any_value(severity) AS severity, CAST(count(DISTINCT trace_id) AS INT) AS n_traces FROM sg GROUP BY failure_signature""",
+    "findings_with_traces": _CALLS + _ALL + ", t AS (SELECT id, any_value(metadata['cluster_id']) AS cluster_id FROM traces GROUP BY id) SELECT detector_id, cluster_id, count(*) AS n FROM f JOIN t ON t.id = f.trace_id GROUP BY ALL",
     "kind_rates": _CALLS + _ALL + " SELECT detector_id AS kind, count(*) AS occurrence_count, count(DISTINCT trace_id) AS affected_trace_count, round(count(DISTINCT trace_id) / (SELECT count(DISTINCT trace_id) FROM spans), 6) AS affected_trace_rate FROM f GROUP BY ALL",
     "detector_coverage": _CALLS
     + """, g AS (SELECT trace_id, count(*) AS n, count(*) FILTER (status IN ('failed', 'timed_out', 'cancelled')) AS nf, count(*) FILTER (status IN ('failed', 'timed_out', 'cancelled') AND fp IS NOT NULL) AS nr, count(*) FILTER (fp IS NOT NULL) AS ne,

@@ -244,6 +244,9 @@ SQL = {
       h AS (SELECT o.id, k.id AS cid, k.ord, len(list_filter(k.words, lambda w: contains(lower(concat_ws(chr(10), input, actual_output, expected_output, rubric)), w))) AS n FROM one o, clusters k), w AS (SELECT id, arg_max(cid, (n, -ord)) AS cid, max(n) AS n FROM h GROUP BY id HAVING max(n) > 0)
       SELECT o.id AS case_id, coalesce(m.cid, w.cid, 'unclustered') AS cluster_id, round(CASE WHEN m.cid IS NOT NULL THEN 1 WHEN w.cid IS NOT NULL THEN least(0.6 + (w.n - 1) * 0.1, 0.9) ELSE 0 END::DOUBLE, 6) AS confidence, CASE WHEN m.cid IS NOT NULL THEN 'metadata' WHEN w.cid IS NOT NULL THEN 'keyword' ELSE 'fallback' END AS method
       FROM one o LEFT JOIN m ON m.id = o.id LEFT JOIN w ON w.id = o.id WHERE o.id IS NOT NULL OR true""",
+    "cluster_texts": "WITH t AS (SELECT id, coalesce(array_to_string(list_filter(["
+    + ", ".join(f"CASE WHEN {_TRIM.format(c)} <> '' THEN '{n}:' || chr(10) || {_TRIM.format(c)} END" for n, c in [("input", "input"), ("rubric", "rubric"), ("expected_output", "expected_output"), *[(k, f"metadata['{k}']") for k in X.CLUSTER_FIELDS]])
+    + "], lambda x: x IS NOT NULL), chr(10) || chr(10)), '') AS text FROM cases) SELECT DISTINCT id, text, sha256(text) AS text_hash FROM t",
     "export_csv_rows": "SELECT DISTINCT coalesce(id, '') AS id, coalesce(trace_id, '') AS trace_id, coalesce(input, '') AS input, coalesce(actual_output, '') AS actual_output, coalesce(expected_output, '') AS expected_output, coalesce(rubric, '') AS rubric FROM cases",
     "export_openai_rows": "SELECT DISTINCT input, coalesce(expected_output, '') AS ideal, id AS case_id, trace_id FROM cases",
 }
