@@ -6,16 +6,20 @@ runs of (fingerprint, doc, place); each new batch is joined with itself and merg
 added, and runs of like size are compacted into one. Candidates are verified on the texts: around an equal gram as many
 characters as needed on either side are compared, which decides exactly whether a stretch of ``length`` lies there.
 
+A stretch that repeats itself with a short period keeps its outermost places only. What of it is shared is reckoned from the
+starts, ends and phases of such stretches of one unit.
+
 Exact copies of a whole text are one class: only its first text is fingerprinted, and links are spread over members at the
 end. Of a fingerprint that many texts share each text's surroundings move once, not once a pair.
 
 Defined results: characters are Unicode code points, compared as written; null texts and those shorter than ``length`` share nothing;
-stretches repeated within one text don't count; inside a stretch that repeats itself with a short period coverage counts the alignments at its rims; rows of one doc id and text count once; an empty table gives no rows; other
+stretches repeated within one text don't count; rows of one doc id and text count once; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,7 @@ LENGTH = 500
 GRAM = 300
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CHUNK = 1 << 19
+_BLOCK = 4096
 _PLACE = (1 << 20) - 1
 
 
@@ -83,47 +88,113 @@ class Fingerprints:
         return p, h[p]
 
     def _thinned(self, p: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Of a stretch that repeats itself with a short period, whose places all bear one hash, the two outermost places on either side.
+        """Of a stretch that repeats itself with a period under a window, whose places all bear one hash, the two outermost places on either side.
 
-        Two texts with such a stretch are aligned by these: any window they share there begins, ends or lies within the stretch in
-        both, and one of the alignments of an outermost with an outermost or next place spans it.
+        Two texts with such a stretch are aligned by these: a window that leaves the stretch holds its outermost place on that side in
+        both, and one that lies within the stretch in both is spanned by an alignment of an outermost or next place with such a one. So the
+        outermost places stand for every such stretch, even if other places were chosen there.
         """
-        v = h[p]
-        cut = np.r_[0, np.flatnonzero(v[1:] != v[:-1]) + 1, len(p)]
-        if not len(p) or (cut[1:] - cut[:-1]).max() <= 4:
+        d = np.arange(1, self.window)
+        after, before = p[:, None] + d, p[:, None] - d
+        after = (after < len(h)) & (h[np.minimum(after, len(h) - 1)] == h[p][:, None])
+        before = (before >= 0) & (h[np.maximum(before, 0)] == h[p][:, None])
+        if not (after.any() or before.any()):
             return p
-        out = []
-        for i, j in zip(cut[:-1], cut[1:]):
-            run = p[i:j]
-            step = int(run[1] - run[0]) if j - i > 4 else 0
-            if j - i <= 4 or step > self.window or (np.diff(run) != step).any():
-                out += run.tolist()
-                continue
-            lo, hi = int(run[0]), int(run[-1])
-            while lo >= step and h[lo - step] == h[lo]:
-                lo -= step
-            while hi + step < len(h) and h[hi + step] == h[hi]:
-                hi += step
-            out += [lo, lo + step, hi - step, hi]
-        return np.unique(out)
+        right = np.where(after.any(1), after.argmax(1) + 1, 0)
+        left = np.where(before.any(1), before.argmax(1) + 1, 0)
+        out, done = p[left != right].tolist() + p[(left == 0) & (right == 0)].tolist(), {}
+        for i in np.flatnonzero((left > 0) | (right > 0)):
+            lo = hi = at = int(p[i])
+            for step in {int(left[i]), int(right[i])} - {0}:
+                if at <= done.get((step, at % step), -1):
+                    continue
+                while lo >= step and h[lo - step] == h[at]:
+                    lo -= step
+                while hi + step < len(h) and h[hi + step] == h[at]:
+                    hi += step
+                done[step, at % step] = hi
+                out += [lo, lo + step, hi - step, hi] if hi > lo else [lo]
+                lo = hi = at
+        return np.unique(np.array(out, np.int64))
+
+    def repeats(self, text: str, places: np.ndarray) -> list[tuple[int, int, int, int, str]]:
+        """(number of a place, period, start, end, hash of the unit from that place on): the stretches of ``length`` or more characters that
+        repeat themselves with a period under a window and hold the gram of a place."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out, seen = [], {}
+        for at in range(0, len(places), _BLOCK):
+            p = places[at : at + _BLOCK]
+            i, d = np.nonzero(c[p[:, None] + np.arange(1, self.window)] == c[p][:, None])
+            d += 1
+            for k in range(1, self.gram - self.window + 1):
+                if not len(i):
+                    break
+                same = c[p[i] + d + k] == c[p[i] + k]
+                i, d = i[same], d[same]
+            units: dict[int, list[int]] = {}
+            for n, q in zip(i.tolist(), d.tolist()):
+                if any(q % u == 0 for u in units.get(n, ())):
+                    continue
+                x = int(p[n])
+                if x + self.gram <= seen.get((q, x % q), 0):
+                    units.setdefault(n, []).append(q)
+                    continue
+                s, e = _reach(c, x, q)
+                if e < x + self.gram:
+                    continue
+                units.setdefault(n, []).append(q)
+                seen[q, x % q] = e
+                if e - s >= self.length:
+                    out.append((at + n, q, s, e, hashlib.sha256(c[x : x + q].tobytes()).hexdigest()))
+        return out
+
+
+def _reach(c: np.ndarray, x: int, q: int) -> tuple[int, int]:
+    """Start and end of the stretch around place ``x`` that repeats itself with period ``q``."""
+    e, n = x, 1024
+    while e + q < len(c):
+        m = min(n, len(c) - q - e)
+        differ = np.flatnonzero(c[e : e + m] != c[e + q : e + q + m])
+        if len(differ):
+            e += int(differ[0])
+            break
+        e, n = e + m, n * 2
+    s, n = x, 1024
+    while s > 0:
+        m = min(n, s)
+        differ = np.flatnonzero(c[s - m : s] != c[s - m + q : s + q])
+        if len(differ):
+            s -= m - 1 - int(differ[-1])
+            break
+        s, n = s - m, n * 2
+    return s, e + q
 
 
 def fingerprints(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Rows (``_f`` bigint, ``_d``, ``_p`` int) of texts (``_d`` bigint, ``_t``)."""
+    """Rows (``_f`` bigint, ``_d``, ``_p`` int, ``_q``, ``_s``, ``_e`` bigint, ``_u``) of texts (``_d`` bigint, ``_t``). The last four are the period, start,
+    end and hashed unit of a stretch that repeats itself around the place, null where none is; a place has a row for each."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Fingerprints(length, gram)
         for b in parts:
-            ids, ps, hs = [], [], []
+            ids, ps, hs, rs, n = [], [], [], [], 0
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 p, h = f.of(t)
                 ids.append(np.full(len(p), d, np.int64))
                 ps.append(p)
                 hs.append(h.view(np.int64))
+                rs += [(n + r[0], *r[1:]) for r in f.repeats(t, p)]
+                n += len(p)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ps).astype(np.int32))], names=["_f", "_d", "_p"])
+                fs, ds, at = np.concatenate(hs), np.concatenate(ids), np.concatenate(ps).astype(np.int32)
+                k = np.array([r[0] for r in rs], np.int64)
+                plain = np.ones(n, bool)
+                plain[k] = False
+                for i, m in ((np.flatnonzero(plain), None), (k, rs)):
+                    tail = [pa.array([r[j] for r in m], kind) if m is not None else pa.nulls(len(i), kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()), 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(fs[i]), pa.array(ds[i]), pa.array(at[i]), *tail], names=["_f", "_d", "_p", "_q", "_s", "_e", "_u"])
 
-    return docs.select("_d", "_t").mapInArrow(work, "_f bigint, _d bigint, _p int")
+    return docs.select("_d", "_t").mapInArrow(work, "_f bigint, _d bigint, _p int, _q bigint, _s bigint, _e bigint, _u string")
 
 
 class FingerprintIndex:
@@ -213,7 +284,7 @@ class SharedStretches:
         # A doc id whose rows hold different texts is rare; each of its texts is read.
         fp = keep(fingerprints(long.join(firsts, "_d", "left_semi"), length, gram))
         for b in range(batches):
-            index.add(fp.filter(F.pmod(F.xxhash64("_d"), F.lit(batches)) == b))
+            index.add(fp.filter(F.pmod(F.xxhash64("_d"), F.lit(batches)) == b).select("_f", "_d", "_p"))
         hits = index.shared()
         rim = length - gram
         texts = long.join(hits.select("_d").distinct(), "_d", "left_semi").distinct()
@@ -225,7 +296,8 @@ class SharedStretches:
         b = around.select("_f", F.col("_d").alias("_b"), F.col("_p").alias("_pb"), F.col("_l").alias("_lb"), F.col("_rt").alias("_rb"))
         pairs = a.join(b, "_f").filter("_a < _b").select("_a", "_b", "_pa", "_pb", "_la", "_lb", "_ra", "_rb")
         self.stretches = keep(pairs.mapInArrow(_verify(length, gram), "_a bigint, _b bigint, _sa bigint, _sb bigint, _len bigint"))
-        self.long = long
+        self.long, self.length = long, length
+        self.repeats = fp.filter("_q is not null").distinct()
 
     def pairs(self) -> DataFrame:
         """Rows (``_a``, ``_b``), smaller id first: all docs that share a stretch, members of classes included."""
@@ -237,10 +309,26 @@ class SharedStretches:
         both = across.unionByName(within).filter("_x <> _y")
         return both.select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
 
+    def _repeated(self) -> DataFrame:
+        """Rows (``_d``, ``s``, ``e``): the parts of stretches that repeat themselves which windows cover that stand in a stretch of the same unit of another doc.
+
+        The other stretch has windows of ``_n`` phases, from ``_r`` on; those of this one with such a phase follow each other within a
+        period, so that they cover all from the first to the last.
+        """
+        q, length = F.col("_q"), F.lit(self.length)
+        other = self.repeats.select("_f", "_q", "_u", F.col("_d").alias("_o"), F.pmod(F.col("_s") - F.col("_p"), q).alias("_r"), F.least(F.col("_e") - F.col("_s") - length + 1, q).alias("_n")).distinct()
+        both = self.repeats.join(other, ["_f", "_q", "_u"]).filter("_d <> _o")
+        last = F.col("_e") - length
+        u, v = F.pmod(F.col("_s") - F.col("_p") - F.col("_r"), q), F.pmod(last - F.col("_p") - F.col("_r"), q)
+        first = F.when(u < F.col("_n"), F.col("_s")).otherwise(F.col("_s") + q - u)
+        last = F.when(v < F.col("_n"), last).otherwise(last - (v - F.col("_n") + 1))
+        return both.select("_d", first.alias("s"), (last + length).alias("e")).filter(F.col("e") - F.col("s") >= length).distinct()
+
     def coverage(self) -> DataFrame:
         """Rows (``_d``, ``n_chars``, ``n_shared``): of each long text how many characters stand in shared stretches."""
         s = self.stretches
         piece = s.select(F.col("_a").alias("_d"), F.col("_sa").alias("s"), (F.col("_sa") + F.col("_len")).alias("e")).unionByName(s.select(F.col("_b").alias("_d"), F.col("_sb").alias("s"), (F.col("_sb") + F.col("_len")).alias("e")))
+        piece = piece.unionByName(self._repeated())
         merged = periods(piece.distinct(), "_d", "s", "e").groupBy("_d").agg(F.sum(F.col("period_end") - F.col("period_start")).alias("n")).withColumnRenamed("_d", "_r")
         copies = self.members.groupBy("_r").agg(F.count(F.lit(1)).alias("c"))
         sizes = self.long.select("_d", F.char_length("_t").cast("long").alias("n_chars")).groupBy("_d").agg(F.max("n_chars").alias("n_chars"))

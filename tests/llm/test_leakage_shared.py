@@ -117,6 +117,43 @@ def test_pairs_and_coverage_against_brute_force(spark):
     assert shared.SharedStretches(df.limit(0), "doc_id", "text").pairs().count() == 0
 
 
+def covered(docs, length):
+    """Shared characters of each text, by all windows of all texts."""
+    windows = [{x[k : k + length] for k in range(len(x) - length + 1)} for x in docs]
+    out = []
+    for i, x in enumerate(docs):
+        hit = np.zeros(len(x), bool)
+        for k in range(len(x) - length + 1):
+            if any(x[k : k + length] in w for j, w in enumerate(windows) if j != i):
+                hit[k : k + length] = True
+        out.append(int(hit.sum()))
+    return windows, out
+
+
+def test_coverage_of_stretches_that_repeat_themselves(spark):
+    r = random.Random(12)
+    t = lambda n: "".join(r.choice("abcdefgh \U0001f600") for _ in range(n))
+    docs = [t(50) + "=" * 600 + t(40), t(9) + "=" * 900, "=" * 61 + t(30), t(20) + "log one." * 70 + t(5) + "log one." * 40, "g one.lo" * 60, t(4) + "one.log "[:7] * 8]
+    for n in (1, 2, 7, 13, 17, 19, 20, 21, 23):
+        unit, ends = t(n), [t(30) for _ in range(3)]
+        for _ in range(7):  # of all phases and lengths, some with like surroundings
+            k = r.randrange(n)
+            body = (unit * 400)[k : k + r.choice((45, 55, 60, 61, 66, 75, 79, 80, 85, 120, 260))]
+            docs.append(r.choice((t(30), t(5), "", ends[0])) + body + r.choice((t(30), "", ends[1], t(2) + (unit * 9)[:70])))
+    docs = sorted(set(docs))
+    windows, want = covered(docs, 60)
+    s = shared.SharedStretches(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), "doc_id", "text", 2, 60, 40)
+    assert {tuple(x) for x in s.pairs().collect()} == {(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if windows[i] & windows[j]}
+    got = {x["_d"]: x["n_shared"] for x in s.coverage().collect()}
+    assert got == {i: want[i] for i, x in enumerate(docs) if len(x) >= 60}
+
+
+def test_coverage_of_one_line_repeated(spark):
+    rows = [(1, "head " + "=" * 3000), (2, "=" * 3000 + " tail"), (3, "x" + "a line of a log\n" * 200), (4, "a line of a log\n" * 40 + "y"), (5, "#" * 501), (6, "#" * 900)]
+    s = shared.SharedStretches(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert {x["_d"]: x["n_shared"] for x in s.coverage().collect()} == {1: 3000, 2: 3000, 3: 3200, 4: 640, 5: 501, 6: 900}
+
+
 def test_spelling_finds_what_is_alike():
     r = random.Random(9)
     voc = sorted({"".join(r.choice("abcde") for _ in range(r.randrange(1, 12))) for _ in range(400)})
