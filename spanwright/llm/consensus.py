@@ -22,20 +22,12 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanwright.functions.text import on_scale  # noqa: F401
 from spanwright.session import Scratch
 
 BROADCAST_ANNOTATORS = 100_000
 
 
-def on_scale(label: Column, scale: list[str]) -> Column:
-    """The label in the scale's spelling, or null. Letter case, blanks at the ends, and a blank or hyphen for the underscore don't matter."""
-    key = F.regexp_replace(F.lower(F.regexp_replace(label, r"(?U)^\s+|\s+$", "")), "[ -]", "_")
-    out = F.lit(None).cast("string")
-    for s in scale:
-        out = F.when(key == s.lower(), s).otherwise(out)
-    return out
-
-
 def usable(df: DataFrame, item: str, annotator: str, label: Column, at: str, least: int) -> DataFrame:
     """Rows (``_i``, ``_a``, ``_l``): one label of each annotator for each item that has at least ``least`` annotators."""
     rows = df.select(F.col(item).alias("_i"), F.col(annotator).alias("_a"), label.alias("_l"), F.col(at).alias("_t"))

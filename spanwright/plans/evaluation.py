@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwright.functions.text import on_scale
 from spanwright.operators import cluster as C
 from spanwright.operators import evaluate as E
 from spanwright.operators import extract as X
@@ -91,9 +92,10 @@ def calibration_impact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, d: str) -> DataFrame:
-    """Human scores 1..4 from the labels of the agreement table, spelt as the scale has them."""
+    """Human scores 1..4 from the labels of the agreement table, whatever their letter case, blanks and hyphens."""
     r = table(spark, d, "agreement_ratings")
-    s = F.when(F.col("label") == "resolved", 4).when(F.col("label") == "partly_resolved", 3).when(F.col("label") == "unresolved", 2).when(F.col("label") == "harmful", 1)
+    label = on_scale(F.col("label"), ["resolved", "partly_resolved", "unresolved", "harmful"])
+    s = F.when(label == "resolved", 4).when(label == "partly_resolved", 3).when(label == "unresolved", 2).when(label == "harmful", 1)
     return r.select(F.col("item_id").alias("case_id"), s.alias("score"), F.col("rated_at").alias("ord")).filter("score is not null")
 
 

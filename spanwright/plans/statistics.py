@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwright.functions.text import on_scale
 from spanwright.operators import cluster as C
 from spanwright.operators import stats as T
 from spanwright.session import table
@@ -65,7 +66,8 @@ def logistic_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ratings(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "agreement_ratings").filter(F.col("label").isin(*SCALE) & F.col("item_id").isNotNull() & F.col("rater_id").isNotNull())
+    """The latest rating of each rater for an item, its label in the spelling of the scale."""
+    r = table(spark, d, "agreement_ratings").withColumn("label", on_scale(F.col("label"), SCALE)).dropna(subset=["label", "item_id", "rater_id"])
     return r.groupBy("item_id", "rater_id").agg(F.max_by("label", F.struct("rated_at", "label")).alias("label"))
 
 

@@ -153,3 +153,18 @@ def test_alignment():
     n = 10_001
     got = X.aligned(side(["k"] * n, "ok"), side(["k"] * n, "error"), context=3, most=8)
     assert len(got) == 4 and got["common_prefix_steps"].iloc[0] == n - 1 and got["relation"].iloc[-1] == "changed" and not got["truncated"].any()
+
+
+def test_ratings_count_in_any_spelling(spark, tmp_path):
+    from spanwright.plans import evaluation, statistics
+
+    def tables(name, spelt):
+        rows = [("i", "a", "harmful", 1), ("i", "a", spelt[0], 2), ("i", "b", spelt[1], 1), ("j", "a", spelt[2], 1), ("j", "b", "harmful", 1), ("k", "a", "Harmful" if spelt[0] != "resolved" else "harmful", 1), ("k", "b", "harmful", 2), ("k", "b", "solved", 3)]
+        spark.createDataFrame(rows, "item_id string, rater_id string, label string, rated_at long").selectExpr("item_id", "rater_id", "label", "timestamp_seconds(rated_at) as rated_at").write.parquet(f"{tmp_path}/{name}/agreement_ratings.parquet")
+        results(spark, [(c, "t", "prompt_judge", x, x, "unit", None, True, None) for c, x in (("i", 0.9), ("j", 0.4), ("k", 0.1))]).write.parquet(f"{tmp_path}/{name}/eval_results.parquet")
+        return f"{tmp_path}/{name}"
+
+    clean, dirty = tables("clean", ["resolved", "partly_resolved", "unresolved"]), tables("dirty", [" Resolved", "partly-resolved", "UNRESOLVED\t"])
+    assert sorted(map(tuple, statistics._ratings(spark, dirty).collect())) == [("i", "a", "resolved"), ("i", "b", "partly_resolved"), ("j", "a", "unresolved"), ("j", "b", "harmful"), ("k", "a", "harmful"), ("k", "b", "harmful")]
+    for q in (statistics.rating_agreement, statistics.two_rater_kappas, evaluation.calibration_bins, evaluation.calibration_model, evaluation.calibrated_results):
+        assert sorted(map(tuple, q(spark, dirty).collect())) == sorted(map(tuple, q(spark, clean).collect())), q
