@@ -53,7 +53,7 @@ def pairs_of(left: list[str], right: list[str], lookahead: int = 32) -> Iterator
     yield from (("candidate_only", None, x) for x in range(j, len(right)))
 
 
-def aligned(left: pd.DataFrame, right: pd.DataFrame, lookahead: int = 32, context: int = 12, most: int = 1024) -> pd.DataFrame:
+def aligned(left: pd.DataFrame, right: pd.DataFrame, lookahead: int = 32, context: int = 12, most: int | None = 1024) -> pd.DataFrame:
     """Rows of one pair; steps have ``key``, ``span_id``, ``status``, ``facts`` and ``root`` (whether a root agent)."""
     rows, prefix, cut, lone = [], 0, False, [0, 0]
     before: list[tuple] = []
@@ -83,7 +83,7 @@ def aligned(left: pd.DataFrame, right: pd.DataFrame, lookahead: int = 32, contex
         rows.append(row)
     if not split:
         rows = before
-    cut = len(rows) > most
+    cut = most is not None and len(rows) > most
     out = pd.DataFrame(rows[:most], columns=["alignment_index", "relation", "meaningful", "confidence", "baseline_step", "candidate_step"])
     for c in ("baseline_step", "candidate_step"):
         out[c] = out[c].astype("Int64")
@@ -100,8 +100,8 @@ def steps(spans: DataFrame) -> DataFrame:
     return spans.select("trace_id", "pos", F.col("id").alias("span_id"), key.alias("key"), F.coalesce("source_status", F.lit("unset")).alias("status"), F.coalesce(F.try_element_at("attributes", F.lit("agent.tool.status")), F.lit("")).alias("facts"), (F.col("parent_id").isNull() & (F.col("kind") == "agent")).alias("root"))
 
 
-def compare_runs(baseline: DataFrame, candidate: DataFrame, lookahead: int = 32, context: int = 12, most: int = 1024) -> DataFrame:
-    """Aligned rows of step tables with ``pair_id``, ``pos`` and the columns of :func:`steps`."""
+def compare_runs(baseline: DataFrame, candidate: DataFrame, lookahead: int = 32, context: int = 12, most: int | None = 1024) -> DataFrame:
+    """Aligned rows of step tables with ``pair_id``, ``pos`` and the columns of :func:`steps`; all rows if ``most`` is None."""
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         name = left["pair_id"].iloc[0] if len(left) else right["pair_id"].iloc[0]
         got = aligned(left.sort_values("pos"), right.sort_values("pos"), lookahead, context, most)

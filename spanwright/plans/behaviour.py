@@ -142,7 +142,7 @@ def run_alignment(spark: SparkSession, d: str) -> DataFrame:
     s = X.steps(B.spans_once(table(spark, d, "spans"), "pos", "parent_id", "name", "kind", "source_status", "attributes", "ingested_at")).join(t, "trace_id")
     full = s.groupBy("pair_id").agg(F.count_distinct("side").alias("k")).filter("k = 2").select("pair_id")
     s = Scratch(spark, "alignment").keep(s.join(full, "pair_id", "left_semi").drop("trace_id"))
-    return X.compare_runs(s.filter("side = 0").drop("side"), s.filter("side = 1").select(*[F.col(c).alias(c) for c in s.columns if c != "side"])).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("common_prefix_steps").alias("common_prefix_steps"), F.count_if(F.col("relation") == "changed").alias("changed"), F.max("baseline_unmatched").alias("baseline_unmatched"), F.max("candidate_unmatched").alias("candidate_unmatched"))
+    return X.compare_runs(s.filter("side = 0").drop("side"), s.filter("side = 1").select(*[F.col(c).alias(c) for c in s.columns if c != "side"]), most=None).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("common_prefix_steps").alias("common_prefix_steps"), F.count_if(F.col("relation") == "changed").alias("changed"), F.max("baseline_unmatched").alias("baseline_unmatched"), F.max("candidate_unmatched").alias("candidate_unmatched"))
 
 
 QUERIES = {f.__name__: f for f in (tool_calls, trace_outcomes, trace_coverage, recovery_status)} | {n: _detector(n) for n in D.DETECTORS} | {

@@ -168,3 +168,15 @@ def test_ratings_count_in_any_spelling(spark, tmp_path):
     assert sorted(map(tuple, statistics._ratings(spark, dirty).collect())) == [("i", "a", "resolved"), ("i", "b", "partly_resolved"), ("j", "a", "unresolved"), ("j", "b", "harmful"), ("k", "a", "harmful"), ("k", "b", "harmful")]
     for q in (statistics.rating_agreement, statistics.two_rater_kappas, evaluation.calibration_bins, evaluation.calibration_model, evaluation.calibrated_results):
         assert sorted(map(tuple, q(spark, dirty).collect())) == sorted(map(tuple, q(spark, clean).collect())), q
+
+
+def test_alignment_counts_all_rows(spark, sf, tmp_path):
+    from spanwright.plans import behaviour
+
+    one = spark.read.parquet(f"{sf}/spans.parquet").limit(1)
+    n = F.col("n").cast("string")
+    runs = [one.crossJoin(spark.range(1500).toDF("n")).withColumns({"trace_id": F.lit(t), "id": F.concat(F.lit(t), n), "parent_id": F.lit("p"), "pos": F.col("n").cast(one.schema["pos"].dataType), "source_status": F.lit(status), "name": F.concat(F.lit("step "), n), "kind": F.lit("chain"), "attributes": F.expr("map('agent.operation', concat('step ', cast(n as string)))")}).select(*one.columns) for t, status in (("a", "ok"), ("b", "error"))]
+    runs[0].unionByName(runs[1]).write.parquet(f"{tmp_path}/spans.parquet")
+    spark.sql("select id, map('cluster_id', 'c') as metadata from values ('a'), ('b') as t(id)").write.parquet(f"{tmp_path}/traces.parquet")
+    r = behaviour.run_alignment(spark, str(tmp_path)).first()
+    assert (r["n_rows"], r["changed"]) == (1500, 1500)
