@@ -78,6 +78,7 @@ def main(args: list[str] | None = None) -> int:
             files.write_jsonl(findings.candidates(found), a.candidates)
         if a.packet:
             files.write_pretty(findings.evidence_packet(found), a.packet)
+            files.write_jsonl(findings.packet_members(found), f"{a.packet}.members")
     elif a.verb == "grade":
         cases = jsonl(a.cases, files.CASE)
         parts = [evaluate.non_empty_output(cases), evaluate.exact_match(cases)] + ([evaluate.contains(cases, a.contains)] if a.contains else [])

@@ -115,7 +115,7 @@ def word_overlap(a: Column, b: Column, least: int = 3) -> Column:
 
 def escape_tagged(text: Column) -> Column:
     """A text on one line with & < > escaped."""
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;"), ("\n", "&#10;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "\\r"), ("\n", "\\n")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 

@@ -233,8 +233,8 @@ def fit_centroids(x: np.ndarray, k: int, seed: int = 42, rounds: int = 100, tole
 
 
 def _sample(table: DataFrame, key: str, vector: str, n: int) -> np.ndarray:
-    rows = hashed_sample(table.filter(F.col(vector).isNotNull()).select(key, vector), key, n).collect()
-    return np.array([r[1] for r in rows], np.float64)
+    rows = hashed_sample(table.filter(F.col(vector).isNotNull()).select(key, vector), key, n)
+    return np.array([r[vector] for r in rows], np.float64)
 
 
 def discover(table: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", sample: int = 50_000, representatives: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:

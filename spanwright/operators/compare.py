@@ -56,19 +56,19 @@ def pairs_of(left: list[str], right: list[str], lookahead: int = 32) -> Iterator
 def aligned(left: pd.DataFrame, right: pd.DataFrame, lookahead: int = 32, context: int = 12, most: int | None = 1024) -> pd.DataFrame:
     """Rows of one pair; steps have ``key``, ``span_id``, ``status``, ``facts`` and ``root`` (whether a root agent)."""
     rows, prefix, cut, lone = [], 0, False, [0, 0]
+    of = {c: (left[c].tolist(), right[c].tolist()) for c in ("status", "facts", "root", "span_id")}
     before: list[tuple] = []
     split = False
     for n, (relation, i, j) in enumerate(pairs_of(left["key"].tolist(), right["key"].tolist(), lookahead)):
         meaningful = relation != "same"
         confidence = 0.75 if relation == "changed" else 0.85
         if relation == "same":
-            a, b = left.iloc[i], right.iloc[j]
-            differs = a["status"] != b["status"] or a["facts"] != b["facts"]
-            if differs:
-                meaningful = not (a["root"] and b["root"])  # a root's outcome is an effect, no cause
+            same = lambda c: of[c][0][i] == of[c][1][j]  # noqa: B023, E731
+            if not (same("status") and same("facts")):
+                meaningful = not (of["root"][0][i] and of["root"][1][j])  # a root's outcome is an effect, no cause
                 relation, confidence = "changed", 0.75 if meaningful else 0.9
             else:
-                exact = a["span_id"] == b["span_id"]
+                exact = same("span_id")
                 relation, confidence = ("exact", 1.0) if exact else ("equivalent", 0.9)
         lone[0] += relation == "baseline_only"
         lone[1] += relation == "candidate_only"

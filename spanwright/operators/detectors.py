@@ -3,8 +3,9 @@
 A finding has ``trace_id``, ``detector_id``, ``detector_version``, ``severity``, ``recovery``, ``subject``, ``operation``, ``error_kind``, ``evidence`` (sorted
 distinct identities), ``metadata`` (map), ``finding_id`` and ``failure_signature`` (content hashes) and ``created_at``. Rules that ask for a later
 call ("an equal call succeeded later") are joins with the last place of such calls by key, not pairs of calls, so that
-they aggregate map-side and no trace has to fit into a task. Episodes and loops stream through sorted partitions with
-bounded state.
+they aggregate map-side; the right sides' few rows of a huge trace are copied to the parts that its calls are dealt to. Loops are
+found by joins on numbered calls. Episodes stream through sorted partitions: their state is one window of calls, but all failures of one call
+between two successes stand in one task.
 
 Defined results: traces without calls give only findings on their outcome; ties can't occur, as places are unique; empty tables give no
 rows.
@@ -12,7 +13,6 @@ rows.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 
 from spanwright.functions.text import hash_parts
 from spanwright.operators import behavior as B
-from spanwright.operators.slices import running
+from spanwright.operators.slices import LIMIT, running, spread_join
 from spanwright.session import Scratch
 
 VERSION = "6"
 FAILED = ["failed", "timed_out", "cancelled"]
 OBSERVED = ["explicit", "derived"]
+MOST_EVIDENCE = 10_000  # evidences of one finding's row
 
 # The facts that detectors need.
 REQUIRED_FACTS = {
@@ -65,16 +66,19 @@ class Facts:
     decisions: DataFrame
     coverage: DataFrame
     adapter: tuple[str, str] = ("default", "1")
+    big: DataFrame | None = None  # traces with more calls than a task should hold
     _recovery: DataFrame | None = field(default=None, repr=False)
 
     @staticmethod
-    def of(spans: DataFrame, mappings: DataFrame | None = None, safe: bool = False, keep: bool = True) -> Facts:
-        tables = [lambda: B.calls(spans, mappings, safe), lambda: B.outcomes(spans), lambda: B.claims(spans), lambda: B.decisions(spans)]
-        if not keep:
-            return Facts(*[t() for t in tables], B.coverage(spans))
-        with ThreadPoolExecutor(len(tables)) as pool:  # four independent jobs, side by side
+    def of(spans: DataFrame, mappings: DataFrame | None = None, safe: bool = False, limit: int = LIMIT) -> Facts:
+        """All facts from base tables that hold one row a span."""
+        b = B.base(spans, safe).kept()
+        big = B.large_calls(b, limit)
+        tables = [lambda: B.calls(b, mappings, safe, big, limit), lambda: B.outcomes(b)]
+        with ThreadPoolExecutor(len(tables)) as pool:  # independent jobs, side by side
             kept = [pool.submit(lambda t=t: Scratch(spans.sparkSession, "facts").keep(t())) for t in tables]
-            return Facts(*[k.result() for k in kept], B.coverage(spans))
+            calls, outcomes = (k.result() for k in kept)
+        return Facts(calls, outcomes, B.claims(b), B.decisions(b), B.coverage(b), big=big)
 
     def recovery(self) -> DataFrame:
         if self._recovery is None:
@@ -107,17 +111,18 @@ def recovery(f: Facts) -> DataFrame:
     open_ = c.filter("status <> 'succeeded'")
     last = lambda key, where, name: won.filter(where).filter(F.col(key).isNotNull()).groupBy("trace_id", key).agg(F.max("idx").alias(name))
     verified = "observation in ('verified_changed', 'verified_unchanged')"
-    x = open_.join(last("_equal", "true", "_l1"), ["trace_id", "_equal"], "left").join(last("_alike", "true", "_l5"), ["trace_id", "_alike"], "left")
+    side = lambda left, right, on: spread_join(left, right, on, "trace_id", f.big)
+    x = side(side(open_, last("_equal", "true", "_l1"), ["trace_id", "_equal"]), last("_alike", "true", "_l5"), ["trace_id", "_alike"])
     by_state = (
         won.filter("predicate is not null")
         .groupBy("trace_id", "predicate")
         .agg(F.max(F.expr("case when observation = 'verified_changed' then idx end")).alias("_l2"), F.max(F.expr(f"case when effect = 'verifying' and {verified} then idx end")).alias("_l3"), F.max(F.expr("case when effect = 'compensating' then idx end")).alias("_l4"))
     )
-    x = x.join(by_state, ["trace_id", "predicate"], "left")
+    x = side(x, by_state, ["trace_id", "predicate"])
     said = _claimed_calls(f).groupBy("trace_id", "idx").agg(
         F.max(F.col("claimed") == "succeeded").alias("_c1"), F.max(F.col("claimed").isin("failed", "not_completed")).alias("_c2"), F.max(F.col("claimed") == "state_unknown").alias("_c3")
     )
-    x = x.join(said, ["trace_id", "idx"], "left").join(f.outcomes.select("trace_id", "final_status", "escalation"), "trace_id", "left")
+    x = side(x.join(said, ["trace_id", "idx"], "left"), f.outcomes.select("trace_id", "final_status", "escalation"), ["trace_id"])
     i = F.col("idx")
     yes = lambda name: F.coalesce(F.col(name), F.lit(False))
     r = (
@@ -146,7 +151,8 @@ def _findings(df: DataFrame, detector: str, severity: str) -> DataFrame:
 
 def _complete(df: DataFrame, f: Facts) -> DataFrame:
     last_call = f.calls.groupBy("trace_id").agg(F.max_by("started_at", "idx").alias("_last"))
-    df = df.join(f.outcomes.select("trace_id", F.col("observed_at").alias("_seen")), "trace_id", "left").join(last_call, "trace_id", "left")
+    seen = f.outcomes.select("trace_id", F.col("observed_at").alias("_seen")).join(last_call, "trace_id", "left")
+    df = spread_join(df, seen, ["trace_id"], "trace_id", f.big)
     evidence = F.array_sort(F.array_distinct(F.filter("evidence", lambda e: e.isNotNull())))
     own = F.map_filter("metadata", lambda k, v: v.isNotNull())
     more = F.map_filter(
@@ -232,45 +238,64 @@ def repeated_tool_failure(f: Facts, limits: Limits) -> DataFrame:
     return _findings(rows.select("trace_id", "recovery", F.col("tool_name").alias("subject"), "operation", "error_kind", "evidence", meta.alias("metadata")), "repeated_tool_failure", "high")
 
 
-def loops(f: Facts, limits: Limits) -> DataFrame:
-    """(trace_id, first_idx, last_idx, cycle_length): of each stretch of calls without progress the loop that ends first: ``loop_calls`` equal calls with equal calls between each two."""
-    n = max(2, limits.loop_calls)
-    c = f.calls.withColumn("_id", _identity(f.calls, False))
-    c = c.withColumn("_cut", F.col("progress") | F.col("_id").isNull()).select("trace_id", "idx", "_id", "_cut")
-    c = running(c, "trace_id", "idx", {"_seg": "case when _cut then 1L else 0L end"}).filter("not _cut")
-    c = c.select("trace_id", "idx", "_seg", F.xxhash64("_id").alias("_k"))
+_P = (1 << 31) - 1
+_BASES = (1_103_515_245 % _P, 69_069)
+
+
+def _power(base: int, n: Column) -> Column:
+    """base^n modulo the prime, for n below 2^42, by the bits of n."""
+    out = F.lit(1).cast("long")
+    for bit in range(42):
+        out = out * F.when(n.bitwiseAND(F.lit(1 << bit)) != 0, F.lit(pow(base, 1 << bit, _P))).otherwise(F.lit(1)) % _P
+    return out
 
-    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, found = None, False
-        mask = (1 << 61) - 1
-        for p in parts:
-            out = []
-            for t, i, s, k in zip(p["trace_id"], p["idx"], p["_seg"], p["_k"]):
-                if (t, s) != key:
-                    # hash of the keys so far by place, and of each key its last n places
-                    key, found, prefix, powers, last = (t, s), False, [0], [1], {}
-                if found:
-                    continue
-                at = len(prefix) - 1
-                prefix.append((prefix[-1] * 1_000_003 + int(k)) % mask)
-                powers.append(powers[-1] * 1_000_003 % mask)
-                q = last.setdefault(int(k), deque(maxlen=n))
-                q.append((at, int(i)))
-                if len(q) == n:
-                    between = {(b - a, (prefix[b] - prefix[a + 1] * powers[b - a - 1]) % mask) for (a, _), (b, _) in zip(q, list(q)[1:])}
-                    if len(between) == 1:
-                        out.append((t, q[0][1], int(i), q[1][0] - q[0][0]))
-                        found = True
-            if out:
-                yield pd.DataFrame(out, columns=["trace_id", "first_idx", "last_idx", "cycle_length"])
 
-    ordered = c.repartition("trace_id", "_seg").sortWithinPartitions("trace_id", "_seg", "idx")
-    return ordered.mapInPandas(scan, "trace_id string, first_idx bigint, last_idx bigint, cycle_length bigint")
+def loops(f: Facts, limits: Limits, limit: int = LIMIT) -> DataFrame:
+    """(trace_id, first_idx, last_idx, cycle_length): of each stretch of calls without progress the loop that ends first: ``loop_calls`` equal calls with equal calls between each two.
+
+    What stands between two calls is known by the difference of running polynomial hashes (two moduli's worth of 31 bits). Each call meets the
+    call of its key before it by a join on the call's number among its key's, so that neither a trace nor a key has to fit in a task.
+    """
+    n = max(2, limits.loop_calls)
+    c = f.calls.withColumn("_id", _identity(f.calls, False))
+    c = c.withColumn("_cut", F.col("progress") | F.col("_id").isNull()).select("trace_id", "idx", F.xxhash64("_id").alias("_k"), "_cut")
+    scratch = Scratch(f.calls.sparkSession, "loops")
+    often = c.filter("not _cut").groupBy("trace_id", "_k").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n).select("trace_id").distinct()
+    c = spread_join(c, often.withColumn("_may", F.lit(True)), ["trace_id"], "trace_id", f.big, "inner").drop("_may")
+    terms = {f"_s{j}": f"(pmod(_k, {_P}L) + 1) * _b{j} % {_P}L" for j in range(2)}
+    c = c.withColumns({f"_b{j}": _power(b, F.col("idx")) for j, b in enumerate(_BASES)})
+    c = running(c, "trace_id", "idx", {"_seg": "case when _cut then 1L else 0L end"} | terms, limit, big=f.big).filter("not _cut")
+    c = c.withColumn("_key", F.to_json(F.struct("trace_id", "_seg", "_k")))
+    c = scratch.keep(running(c, "_key", "idx", {"_r": "1L"}, limit, big=None if f.big is None else True).select("trace_id", "_seg", "idx", "_key", "_r", "_s0", "_s1", "_b0", "_b1", (F.col("_k") % _P).alias("_m")))
+    before = lambda d, df, cols: df.select("_key", (F.col("_r") + d).alias("_r"), *cols)
+    one = c.join(before(1, c, [F.col("idx").alias("_i"), F.col("_s0").alias("_t0"), F.col("_s1").alias("_t1")]), ["_key", "_r"])
+    gap = F.col("idx") - F.col("_i")
+    # Between the two calls, ends left out: the difference less the later call's own term.
+    own = lambda j: (F.pmod(F.col("_m"), F.lit(_P)) + 1) * F.col(f"_b{j}") % _P
+    one = scratch.keep(one.select("trace_id", "_seg", "_key", "_r", "idx", gap.alias("_g"), *[F.pmod(F.col(f"_s{j}") - F.col(f"_t{j}") - own(j), F.lit(_P)).alias(f"_d{j}") for j in range(2)]))
+    if n == 2:
+        hit = one
+    else:
+        two = one.join(before(1, one, [F.col("_g").alias("_h"), F.col("_d0").alias("_e0"), F.col("_d1").alias("_e1")]), ["_key", "_r"])
+        same = F.col("_g") == F.col("_h")
+        for j, b in enumerate(_BASES):
+            same = same & (F.pmod(F.col(f"_e{j}") * _power(b, F.col("_g")), F.lit(_P)) == F.col(f"_d{j}"))
+        # n equal calls are n - 2 equal neighbours of gaps in a row: none of the last n - 2 differs.
+        flags = running(two.withColumn("_odd", F.when(same, F.lit(0)).otherwise(F.lit(1))), "_key", "_r", {"_odds": "cast(_odd as bigint)"}, limit, big=None if f.big is None else True)
+        if n == 3:
+            hit = flags.filter("_odd = 0")
+        else:
+            flags = scratch.keep(flags)
+            start = before(n - 3, flags, [(F.col("_odds") - F.col("_odd")).alias("_then")])
+            hit = flags.join(start, ["_key", "_r"]).filter("_odds = _then")
+    best = hit.groupBy("trace_id", "_seg").agg(F.min(F.struct("idx", "_g")).alias("m"))
+    return best.select("trace_id", (F.col("m.idx") - (n - 1) * F.col("m._g")).alias("first_idx"), F.col("m.idx").alias("last_idx"), F.col("m._g").alias("cycle_length"))
 
 
 def tool_call_loop(f: Facts, limits: Limits) -> DataFrame:
     e = loops(f, limits)
-    inside = e.withColumn("idx", F.explode(F.sequence("first_idx", "last_idx"))).join(f.calls.select("trace_id", "idx", F.col("evidence").alias("_ev")), ["trace_id", "idx"])
+    some = F.least(F.col("last_idx"), F.col("first_idx") + MOST_EVIDENCE - 1)
+    inside = e.withColumn("idx", F.explode(F.sequence("first_idx", some))).join(f.calls.select("trace_id", "idx", F.col("evidence").alias("_ev")), ["trace_id", "idx"])
     ev = inside.groupBy("trace_id", "first_idx", "last_idx", "cycle_length").agg(F.flatten(F.collect_list("_ev")).alias("evidence"))
     last = f.calls.select("trace_id", F.col("idx").alias("last_idx"), "tool_name", "operation", "error_kind")
     rows = ev.join(last, ["trace_id", "last_idx"]).join(f.outcomes.select("trace_id", "final_status", "escalation"), "trace_id", "left")
@@ -357,14 +382,20 @@ def tool_usage(f: Facts) -> DataFrame:
 
 
 def excessive_tool_usage(f: Facts, limits: Limits) -> DataFrame:
-    """Its evidence is all calls of the trace, as one array in the finding's row."""
+    """Its evidence is the calls of the trace, the first ``MOST_EVIDENCE`` of them in the finding's row; :func:`tool_budget_evidence` has all as rows."""
     over = tool_usage(f).filter((F.col("tool_call_count") > max(1, limits.tool_calls)) | (F.col("total_duration_ms") > max(1, limits.duration_ms)))
-    ev = f.calls.join(over.select("trace_id"), "trace_id", "left_semi").select("trace_id", F.explode("evidence").alias("e")).groupBy("trace_id").agg(F.collect_set("e").alias("evidence"))
+    ev = f.calls.filter(F.col("idx") < MOST_EVIDENCE).join(over.select("trace_id"), "trace_id", "left_semi").groupBy("trace_id").agg(F.flatten(F.collect_list("evidence")).alias("evidence"))
     meta = _map(tool_call_count=F.col("tool_call_count"), tool_call_limit=F.lit(limits.tool_calls), total_duration_ms=F.col("total_duration_ms"), total_duration_limit_ms=F.lit(limits.duration_ms))
     rows = over.join(ev, "trace_id").select("trace_id", F.lit("unrecovered").alias("recovery"), F.lit("tool_budget").alias("subject"), F.lit(None).cast("string").alias("operation"), F.lit(None).cast("string").alias("error_kind"), "evidence", meta.alias("metadata"))
     return _findings(rows, "excessive_tool_usage", "medium")
 
 
+def tool_budget_evidence(f: Facts, limits: Limits) -> DataFrame:
+    """(trace_id, ``evidence``): every call of the traces over their budget, a row each."""
+    over = tool_usage(f).filter((F.col("tool_call_count") > max(1, limits.tool_calls)) | (F.col("total_duration_ms") > max(1, limits.duration_ms)))
+    return f.calls.join(over.select("trace_id"), "trace_id", "left_semi").select("trace_id", F.explode("evidence").alias("evidence"))
+
+
 DETECTORS = {
     d.__name__: d
     for d in (terminal_tool_failure, repeated_tool_failure, tool_call_loop, uncertain_mutation_state, false_success_claim, unresolved_escalation, missing_resolution, approval_bypass, policy_violation, excessive_tool_usage)

@@ -124,10 +124,44 @@ def report_counts(results: DataFrame) -> DataFrame:
     return results.agg(F.count_distinct("case_id").alias("total_cases"), F.count(F.lit(1)).alias("total_results"), F.count_if(F.col("cluster_id").isNull() | (F.col("cluster_id") == "unclustered")).alias("unclustered_count"), F.count_if(m == "true").alias("novelty_count"))
 
 
+def report(results: DataFrame, clusters: DataFrame | None = None, worst: int = 5, failed: int = 20, **weights: object) -> DataFrame:
+    """The whole report as one long table (``section``, ``key``, ``rank``, ``result_count``, ``passed_count``, ``pass_rate``, ``weighted_score``, ``text``).
+
+    Sections: ``counts`` (cases, results, unclustered, novelty), ``run``, ``evaluator``, ``cluster``, ``worst_cluster`` (the ``worst`` worst), ``failed_case`` (the first ``failed``), ``calibration``
+    (raw, calibrated, delta; only if results are calibrated).
+    """
+    null = lambda t: F.lit(None).cast(t)
+    shape = lambda section, key, rank=None, n=None, ok=None, rate=None, score=None, text=None: [
+        F.lit(section).alias("section"), key.cast("string").alias("key"), (null("bigint") if rank is None else rank.cast("bigint")).alias("rank"), (null("bigint") if n is None else n.cast("bigint")).alias("result_count"), (null("bigint") if ok is None else ok.cast("bigint")).alias("passed_count"),
+        (null("double") if rate is None else rate).alias("pass_rate"), (null("double") if score is None else score).alias("weighted_score"), (null("string") if text is None else text).alias("text"),
+    ]
+    measures = [F.col("result_count"), F.col("passed_count"), F.col("pass_rate"), F.col("weighted_score")]
+    cw = clusters if clusters is not None and "weight" in clusters.columns else None
+    scores = report_scores(results, cluster_weights=cw, **weights)
+    label = lambda df: df if clusters is None else df.join(clusters.groupBy(F.col("id").alias("cluster_id")).agg(F.min("label").alias("_label")), "cluster_id", "left")
+    text = null("string") if clusters is None else F.col("_label")
+    counts = report_counts(results)
+    long = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("bigint").alias("n")) for c in counts.columns])).alias("x"))
+    out = long.select(*shape("counts", F.col("x.k"), n=F.col("x.n")))
+    out = out.unionByName(scores.filter("level = 'run'").select(*shape("run", F.lit("all"), None, *measures)))
+    out = out.unionByName(scores.filter("level = 'evaluator'").select(*shape("evaluator", F.col("evaluator_name"), None, *measures)))
+    by_cluster = label(scores.filter("level = 'cluster'"))
+    out = out.unionByName(by_cluster.select(*shape("cluster", F.col("cluster_id"), None, *measures, text)))
+    bad = by_cluster.filter("result_count > passed_count").orderBy("weighted_score", "cluster_id").limit(worst)
+    ranked = bad.withColumn("rank", F.row_number().over(W.orderBy("weighted_score", "cluster_id")))  # at most ``worst`` rows
+    out = out.unionByName(ranked.select(*shape("worst_cluster", F.col("cluster_id"), F.col("rank"), *measures, text)))
+    f = failed_cases(results, failed)
+    f = f.withColumn("rank", F.row_number().over(W.orderBy(F.asc_nulls_first("cluster_id"), "evaluator_name", F.asc_nulls_first("score"), "case_id")))  # at most ``failed`` rows
+    out = out.unionByName(f.select(*shape("failed_case", F.col("case_id"), F.col("rank"), score=F.col("score"), text=F.concat_ws("|", F.coalesce("cluster_id", F.lit("")), "evaluator_name"))))
+    c = calibration_impact(results, cluster_weights=cw, **weights)
+    c = c.select(F.explode(F.array(*[F.struct(F.lit(n).alias("k"), F.col(n).alias("v")) for n in ("raw_weighted_score", "calibrated_weighted_score", "delta")])).alias("x"))
+    return out.unionByName(c.select(*shape("calibration", F.col("x.k"), score=F.col("x.v"))))
+
+
 def fit_calibration(results: DataFrame, ratings: DataFrame, threshold: int = 3) -> tuple[DataFrame, DataFrame]:
     """(bins, model) from results and ratings (case_id, score 1..4; of several of a case the greatest ``ord`` counts, if there).
 
-    bins: ``bin_key`` (score in thousandths), ``score`` (the mean of its scores), ``n``, ``mean_human``, ``pass_rate``. model, one row: ``n``, ``global_pass_rate``,
+    bins: ``bin_key`` (score in thousandths), ``score`` (the one seen first, by the results' ``ord`` if there, else the least), ``n``, ``mean_human``, ``pass_rate``. model, one row: ``n``, ``global_pass_rate``,
     ``mean_absolute_error``, ``evaluator_name`` (if all results have one).
     """
     if not 1 <= threshold <= 4:
@@ -139,7 +173,8 @@ def fit_calibration(results: DataFrame, ratings: DataFrame, threshold: int = 3)
     checked = F.when(F.col("_h").between(1, 4), F.col("_h")).otherwise(F.raise_error(F.lit("a human score is from 1 to 4")).cast("int"))
     x = results.filter("normalized_score is not null").join(last, "case_id").withColumns({"_h": checked, "_x": clamp01(F.col("normalized_score"))})
     x = x.withColumns({"_hn": (F.col("_h") - 1) / 3.0, "_p": F.coalesce("_told", F.col("_h") >= threshold).cast("double"), "bin_key": F.round(F.col("_x") * 1000).cast("int")})
-    bins = x.groupBy("bin_key").agg(F.avg("_x").alias("score"), F.count(F.lit(1)).alias("n"), F.avg("_hn").alias("mean_human"), F.avg("_p").alias("pass_rate"))
+    seen = F.col("ord") if "ord" in results.columns else F.lit(0)
+    bins = x.groupBy("bin_key").agg(F.min_by("_x", F.struct(seen, "_x")).alias("score"), F.count(F.lit(1)).alias("n"), F.avg("_hn").alias("mean_human"), F.avg("_p").alias("pass_rate"))
     model = x.agg(F.count(F.lit(1)).alias("n"), F.avg("_p").alias("global_pass_rate"), F.avg(F.abs(F.col("_x") - F.col("_hn"))).alias("mean_absolute_error"), F.when(F.count_distinct("evaluator_name") == 1, F.min("evaluator_name")).alias("evaluator_name"))
     return bins, model
 

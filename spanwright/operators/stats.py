@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanwright.operators.slices import hashed_sample
+from spanwright.operators.slices import hashed_sample, running_over_all
 
 # The quantile of the 95 % interval, and the bootstrap's seed and resamples.
 Z95 = 1.959963984540054
@@ -84,17 +84,16 @@ def expected_calibration_error(df: DataFrame, n: int = 10) -> DataFrame:
 def precision_recall_curve(df: DataFrame) -> DataFrame:
     """One row a distinct probability, from the highest: ``threshold``, ``tp``, ``fp``, ``precision``, ``recall``."""
     g = df.filter("p is not null").groupBy(F.col("p").alias("threshold")).agg(F.count_if("label").alias("_t"), F.count_if(~F.col("label")).alias("_f"))
-    w = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    g = g.withColumns({"tp": F.sum("_t").over(w), "fp": F.sum("_f").over(w), "_all": F.sum("_t").over(W.partitionBy(F.lit(0)))})
-    return g.select("threshold", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), ratio(F.col("tp"), F.col("_all")).alias("recall"))
+    positives = g.agg(F.sum("_t").alias("_all"))
+    g = running_over_all(g, "threshold", {"tp": "_t", "fp": "_f"}, descending=True).crossJoin(F.broadcast(positives))  # one row
+    return g.select("threshold", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), ratio(F.col("tp"), F.col("_all")).alias("recall"), F.col("_t").alias("new_tp"), F.col("_f").alias("new_fp"), F.col("_all").alias("positives"))
 
 
 def precision_recall_areas(df: DataFrame) -> DataFrame:
     """One row: average precision (steps) and the area under the curve (trapezoids from precision 1 at recall 0)."""
     c = precision_recall_curve(df)
-    w = W.orderBy(F.desc("threshold"))
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
-    c = c.withColumns({"_s": step, "_p": F.coalesce(F.lag("precision").over(w), F.lit(1.0))})
+    tp, n = F.col("tp") - F.col("new_tp"), F.col("tp") + F.col("fp") - F.col("new_tp") - F.col("new_fp")  # of the point before
+    c = c.withColumns({"_s": ratio(F.col("new_tp"), F.col("positives")), "_p": F.coalesce(ratio(tp, n), F.lit(1.0))})
     return c.agg(F.sum(F.col("_s") * F.col("precision")).alias("average_precision"), F.sum(F.col("_s") * (F.col("precision") + F.col("_p")) / 2).alias("auprc"))
 
 
@@ -104,8 +103,7 @@ def selective_risk(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     yes = F.col("p") >= threshold
     d = df.filter("p is not null").select(F.when(yes, F.col("p")).otherwise(1 - F.col("p")).alias("minimum_confidence"), (yes != F.col("label")).alias("_e"))
     g = d.groupBy("minimum_confidence").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_e").alias("_e"))
-    w = W.orderBy(F.desc("minimum_confidence")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    c = g.select("minimum_confidence", F.sum("_n").over(w).alias("decided_count"), F.sum("_e").over(w).alias("_errors"))
+    c = running_over_all(g, "minimum_confidence", {"decided_count": "_n", "_errors": "_e"}, descending=True).select("minimum_confidence", "decided_count", "_errors")
     c = c.unionByName(df.sparkSession.range(1).select(F.lit(None).cast("double").alias("minimum_confidence"), F.lit(0).cast("long").alias("decided_count"), F.lit(0).cast("long").alias("_errors")))
     c = c.crossJoin(F.broadcast(n))
     return c.select("decided_count", "attempted_count", F.coalesce(ratio(F.col("decided_count"), F.col("attempted_count")), F.lit(0.0)).alias("coverage"), ratio(F.col("_errors"), F.col("decided_count")).alias("classification_risk"), "minimum_confidence")
@@ -221,9 +219,10 @@ class Logistic:
 
 
 def fit_logistic(df: DataFrame, features: list[str], label: str, key: str, l2: float = 1.0, sample: int = 200_000, most_rounds: int = 10_000, tolerance: float = 1e-8) -> Logistic:
-    """Fits on the ``sample`` rows with the least hashes of ``key``: mean log loss plus ``l2``/2 of the squared coefficients a row, by Newton steps with halving."""
+    """Fits on ``sample`` rows, one a value of ``key``, those with the least hashes: mean log loss plus ``l2``/2 of the squared coefficients a row, by Newton steps with halving."""
     rows = df.filter(F.col(label).isNotNull()).select(*[F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("_y"), F.col(key).alias("_k"))
-    rows = hashed_sample(rows, "_k", sample).orderBy("_k", *[f"_{i}" for i in range(len(features))], "_y").drop("_k").toPandas().to_numpy(float)
+    got = sorted(hashed_sample(rows, "_k", sample), key=lambda r: str(r["_k"]))
+    rows = np.array([[*(r[f"_{i}"] for i in range(len(features))), r["_y"]] for r in got], float).reshape(-1, len(features) + 1)
     y, x = rows[:, -1], rows[:, :-1]
     if len(y) == 0 or y.min() == y.max():
         raise ValueError("a fit needs both classes")

@@ -89,9 +89,9 @@ def finding_gate(baseline: DataFrame, candidate: DataFrame, targets: DataFrame,
     n = t.agg(F.count(F.lit(1)).alias("target_count"))
     b = t.join(once(baseline).select("failure_signature").distinct(), "failure_signature", "left_semi").agg(F.count(F.lit(1)).alias("_b"))
     c = t.join(once(candidate).select("failure_signature").distinct(), "failure_signature", "left_semi").agg(F.array_sort(F.collect_list("failure_signature")).alias("recurring_target_signatures"))
-    s = novel_findings(baseline, candidate, threshold).agg(F.array_sort(F.collect_set("finding_id")).alias("severe_novel_finding_ids"))
+    s = novel_findings(baseline, candidate, threshold).agg(F.count(F.lit(1)).alias("severe_novel_count"))
     row = n.crossJoin(b).crossJoin(c).crossJoin(s)  # one row each
-    row = row.withColumns({"baseline_reproduced": (F.col("target_count") > 0) & (F.col("_b") == F.col("target_count")), "candidate_resolved": F.size("recurring_target_signatures") == 0, "no_severe_novel_findings": F.size("severe_novel_finding_ids") == 0})
+    row = row.withColumns({"baseline_reproduced": (F.col("target_count") > 0) & (F.col("_b") == F.col("target_count")), "candidate_resolved": F.size("recurring_target_signatures") == 0, "no_severe_novel_findings": F.col("severe_novel_count") == 0})
     return row.withColumn("passed", F.col("baseline_reproduced") & F.col("candidate_resolved") & F.col("no_severe_novel_findings")).drop("_b")
 
 
@@ -101,9 +101,38 @@ def budget_gate(baseline: dict[str, int], candidate: dict[str, int], most_increa
     return {"increases": up, "passed": all(up[k] <= most_increase.get(k, up[k]) for k in up)}
 
 
-def remediation(gates: dict[str, bool]) -> dict:
-    """The conjunction of named gates."""
-    return {"passed": bool(gates) and all(gates.values()), "failed_gates": sorted(k for k, ok in gates.items() if not ok)}
+#: The parts of a remediation check, in their order.
+REMEDIATION = ["findings_resolved", "no_severe_novel_findings", "incident_passed", "suite_passed", "budget_held"]
+
+
+def usage(findings_or_calls: DataFrame) -> DataFrame:
+    """One row of measures over calls (``duration_ms``): ``tool_calls``, ``duration_ms``, ``traces``."""
+    c = findings_or_calls
+    return c.agg(F.count(F.lit(1)).alias("tool_calls"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms"), F.count_distinct("trace_id").alias("traces"))
+
+
+def budget_gate_rows(baseline: DataFrame, candidate: DataFrame, most_increase: dict[str, int], measures: list[str]) -> DataFrame:
+    """(``measure``, ``baseline``, ``candidate``, ``increase``, ``most``, ``passed``), a row a measure, from one-row tables of measures. Increases can't fall below 0; a measure without a bound passes."""
+    long = lambda df, name: df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.coalesce(F.col(m), F.lit(0)).cast("long").alias(name)) for m in measures])).alias("x")).select("x.*")
+    most = F.coalesce(*[F.when(F.col("measure") == k, F.lit(v).cast("long")) for k, v in most_increase.items()], F.lit(None).cast("long"))
+    j = long(baseline, "baseline").join(long(candidate, "candidate"), "measure").withColumn("increase", F.greatest(F.col("candidate") - F.col("baseline"), F.lit(0)))
+    return j.withColumn("most", most).withColumn("passed", F.coalesce(F.col("increase") <= F.col("most"), F.lit(True)))
+
+
+def remediation(findings: DataFrame, incident: DataFrame | None = None, suite: DataFrame | None = None, budget: DataFrame | None = None) -> DataFrame:
+    """(``gate``, ``passed``) of each part that was checked and of the whole (``remediation``), which passes if all parts do.
+
+    ``findings`` from :func:`finding_gate`, ``incident`` and ``suite`` one-row gates with ``passed``, ``budget`` from :func:`budget_gate_rows`.
+    """
+    row = lambda df, name, c: df.select(F.lit(name).alias("gate"), c.alias("passed"))
+    parts = [row(findings, REMEDIATION[0], F.col("baseline_reproduced") & F.col("candidate_resolved")), row(findings, REMEDIATION[1], F.col("no_severe_novel_findings"))]
+    parts += [row(df, name, F.col("passed")) for df, name in ((incident, REMEDIATION[2]), (suite, REMEDIATION[3])) if df is not None]
+    if budget is not None:
+        parts.append(budget.agg(F.coalesce(F.min("passed"), F.lit(True)).alias("_p")).select(F.lit(REMEDIATION[4]).alias("gate"), F.col("_p").alias("passed")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.unionByName(out.agg(F.min(F.coalesce("passed", F.lit(False))).alias("_p")).select(F.lit("remediation").alias("gate"), F.col("_p").alias("passed")))
 
 
 # --- validation --------------------------------------------------------------------------------------------------------------

@@ -76,7 +76,7 @@ def findings_by_detector(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signature_groups(spark: SparkSession, d: str) -> DataFrame:
-    return G.signature_groups(_findings(spark, d)).select("group_id", "failure_signature", "occurrence_count", "severity", F.size("trace_ids").alias("n_traces"))
+    return G.signature_groups(_findings(spark, d)).select("group_id", "failure_signature", "occurrence_count", "severity", F.col("trace_count").alias("n_traces"), "finding_hash")
 
 
 def kind_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -90,10 +90,13 @@ def _windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def recurrence_compare(spark: SparkSession, d: str) -> DataFrame:
-    b, c = _windows(spark, d)
-    targets = b.filter("severity = 'high'").select("failure_signature").distinct()
-    r = G.recurrence(b, c, targets, (1000, 500))
-    return r.select("baseline_occurrence_count", "candidate_occurrence_count", "baseline_affected_trace_count", "candidate_affected_trace_count", F.round("recurrence_rate_delta", 6).alias("recurrence_rate_delta"), F.size("severe_novel_finding_ids").alias("n_severe_novel"), "evidence_complete")
+    """The findings before ``SPLIT`` against those from then on; observed are the traces whose last instant lies in the window."""
+    f = _facts(spark, d)
+    found = D.detect(f)
+    n = f.outcomes.agg(F.count_if(F.col("observed_at") < SPLIT), F.count_if(F.col("observed_at") >= SPLIT)).first()
+    b, c = found.filter(F.col("created_at") < SPLIT), found.filter(F.col("created_at") >= SPLIT)
+    r = G.recurrence(b, c, b.filter("severity = 'high'").select("failure_signature").distinct(), (n[0], n[1]))
+    return r.select("baseline_occurrence_count", "candidate_occurrence_count", "baseline_affected_trace_count", "candidate_affected_trace_count", F.round("baseline_recurrence_rate", 6).alias("baseline_rate"), F.round("candidate_recurrence_rate", 6).alias("candidate_rate"), F.col("severe_novel_count").alias("n_severe_novel"), "evidence_complete")
 
 
 def novel_signatures(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +110,7 @@ def finding_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_packet(spark: SparkSession, d: str) -> DataFrame:
-    return G.evidence_packet(_findings(spark, d)).select(F.size("trace_ids").alias("n_traces"), F.size("finding_ids").alias("n_findings"), F.size("evidence").alias("n_evidence"), "created_at", "content_hash", "packet_id")
+    return G.evidence_packet(_findings(spark, d)).select("trace_count", "finding_count", "evidence_count", "trace_hash", "finding_hash", "evidence_hash", "created_at")
 
 
 def finding_projections(spark: SparkSession, d: str) -> DataFrame:
@@ -122,31 +125,45 @@ def findings_with_traces(spark: SparkSession, d: str) -> DataFrame:
     return G.with_traces(_findings(spark, d), table(spark, d, "traces")).groupBy("detector_id", F.try_element_at("trace_metadata", F.lit("cluster_id")).alias("cluster_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _completion(spark: SparkSession, d: str) -> DataFrame:
+    return T.facts(table(spark, d, "spans"), table(spark, d, "tool_mappings"))
+
+
+def completion_facts(spark: SparkSession, d: str) -> DataFrame:
+    return _completion(spark, d).select("trace_id", "sequence", "evidence_id", "span_id", "actor", "kind", "status", "tool_name", "lane", "mandatory", "relevance")
+
+
 def first_success_after_failure(spark: SparkSession, d: str) -> DataFrame:
-    return T.recovery_chains(T.facts(table(spark, d, "spans"), table(spark, d, "tool_mappings"))).select("trace_id", "tool_name", "failure_sequence", "success_sequence", "success_span_id")
+    return T.recovery_chains(_completion(spark, d)).drop("family")
+
+
+def compact_projections(spark: SparkSession, d: str) -> DataFrame:
+    return T.projected(_completion(spark, d), "complete", 400)[1]
+
+
+def completion_prompts(spark: SparkSession, d: str) -> DataFrame:
+    f, p = T.projected(_completion(spark, d), "mandatory_with_recovery", 6144, "Judge the task.")
+    return T.prompts(f, p, "mandatory_with_recovery", "Judge the task.")
 
 
 def completion_features(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "spans")
-    goals = B.spans_once(s, "pos", "input", "ingested_at").filter("input is not null").groupBy("trace_id").agg(F.min_by("input", "pos").alias("goal"))
-    f = T.features(T.within_budget(T.facts(s, table(spark, d, "tool_mappings")), 400), goals, 400)
-    return f.select("trace_id", *[F.round(c, 6).alias(c) for c in T.FEATURES])
+    f, p = T.projected(_completion(spark, d), "complete", 400)
+    return T.features(f, p, 400).select("trace_id", *[F.round(c, 6).alias(c) for c in T.FEATURES])
 
 
 def run_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Traces of a cluster, side by side in the order of their ids: each odd one against the next."""
+    """Traces of a cluster (those without one form one too), side by side in the order of their ids: each odd one against the next, a last one without a mate against nothing."""
     from pyspark.sql import Window as W
 
-    t = table(spark, d, "traces").groupBy("id").agg(F.first(F.try_element_at("metadata", F.lit("cluster_id")), ignorenulls=True).alias("c")).filter("c is not null")
+    t = table(spark, d, "traces").groupBy("id").agg(F.first(F.try_element_at("metadata", F.lit("cluster_id")), ignorenulls=True).alias("c")).filter("id is not null").withColumn("c", F.coalesce("c", F.lit("")))
     t = t.withColumn("n", F.row_number().over(W.partitionBy("c").orderBy("id")) - 1).select(F.col("id").alias("trace_id"), F.concat_ws(":", "c", F.floor(F.col("n") / 2).cast("string")).alias("pair_id"), (F.col("n") % 2).alias("side"))
     s = X.steps(B.spans_once(table(spark, d, "spans"), "pos", "parent_id", "name", "kind", "source_status", "attributes", "ingested_at")).join(t, "trace_id")
-    full = s.groupBy("pair_id").agg(F.count_distinct("side").alias("k")).filter("k = 2").select("pair_id")
-    s = Scratch(spark, "alignment").keep(s.join(full, "pair_id", "left_semi").drop("trace_id"))
+    s = Scratch(spark, "alignment").keep(s.drop("trace_id"))
     return X.compare_runs(s.filter("side = 0").drop("side"), s.filter("side = 1").select(*[F.col(c).alias(c) for c in s.columns if c != "side"]), most=None).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("common_prefix_steps").alias("common_prefix_steps"), F.count_if(F.col("relation") == "changed").alias("changed"), F.max("baseline_unmatched").alias("baseline_unmatched"), F.max("candidate_unmatched").alias("candidate_unmatched"))
 
 
 QUERIES = {f.__name__: f for f in (tool_calls, trace_outcomes, trace_coverage, recovery_status)} | {n: _detector(n) for n in D.DETECTORS} | {
-    f.__name__: f for f in (failure_episodes, call_loops, tool_usage, detector_coverage, telemetry_diagnostics, findings_by_detector, signature_groups, kind_rates, recurrence_compare, novel_signatures, finding_gate, evidence_packet, finding_projections, eval_candidates, findings_with_traces, first_success_after_failure, completion_features, run_alignment)
+    f.__name__: f for f in (failure_episodes, call_loops, tool_usage, detector_coverage, telemetry_diagnostics, findings_by_detector, signature_groups, kind_rates, recurrence_compare, novel_signatures, finding_gate, evidence_packet, finding_projections, eval_candidates, findings_with_traces, completion_facts, first_success_after_failure, compact_projections, completion_prompts, completion_features, run_alignment)
 }
 
 _CALLS = f"""WITH {ONCE}, maps AS (SELECT tool_name AS tn, min(operation) AS op, min(effect) AS ef, min(retry_safety) AS rs, min(requirement) AS rq FROM tool_mappings WHERE tool_name IS NOT NULL GROUP BY tool_name),

@@ -186,9 +186,9 @@ _TRIM = r"regexp_replace({0}, '^[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+|[\s
 _K = "clusters(ord, id, label, weight, words) AS (VALUES " + ", ".join(f"({i}, '{n}', '{label}', {WEIGHTS.get(n, 1.0)}::DOUBLE, {[label, *[w for w in words if w != label]]})" for i, (n, label, words) in enumerate(CLUSTERS)) + ")"
 _W = f"WITH {_K}, r AS (SELECT e.*, coalesce(calibrated_score, normalized_score) AS s, (CASE WHEN evaluator_name = 'prompt_judge' THEN 2.0 ELSE 1.0 END)::DOUBLE * coalesce(c.weight, 1.0) AS w, coalesce(c.weight, 1.0)::DOUBLE AS cw, coalesce(cluster_id, 'unclustered') AS cl, c.label FROM eval_results e LEFT JOIN clusters c ON c.id = e.cluster_id)"
 _M = "count(*) AS result_count, count(*) FILTER (passed) AS passed_count, round(coalesce(count(*) FILTER (passed) / nullif(count(*), 0), 0), 6) AS pass_rate, round(coalesce(sum(w * s) / nullif(sum(w) FILTER (s IS NOT NULL), 0), 0), 6) AS weighted_score, round(coalesce(sum(w) FILTER (s IS NOT NULL), 0), 6) AS total_weight"
-_CAL = """WITH h AS (SELECT item_id, arg_max(score, (rated_at, score)) AS h FROM (SELECT *, CASE label WHEN 'resolved' THEN 4 WHEN 'partly_resolved' THEN 3 WHEN 'unresolved' THEN 2 WHEN 'harmful' THEN 1 END AS score FROM agreement_ratings) WHERE score IS NOT NULL AND item_id IS NOT NULL GROUP BY item_id),
+_CAL = """WITH h AS (SELECT item_id, arg_max(score, (rated_at, score)) AS h FROM (SELECT *, CASE regexp_replace(lower(regexp_replace(label, '^\\s+|\\s+$', '', 'g')), '[ -]', '_', 'g') WHEN 'resolved' THEN 4 WHEN 'partly_resolved' THEN 3 WHEN 'unresolved' THEN 2 WHEN 'harmful' THEN 1 END AS score FROM agreement_ratings) WHERE score IS NOT NULL AND item_id IS NOT NULL GROUP BY item_id),
 x AS (SELECT least(greatest(normalized_score, 0), 1) AS x, (h - 1) / 3.0::DOUBLE AS hn, CASE WHEN h >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p, CAST(round(least(greatest(normalized_score, 0), 1) * 1000) AS INT) AS bin_key, evaluator_name FROM eval_results JOIN h ON h.item_id = case_id WHERE evaluator_name = 'prompt_judge' AND normalized_score IS NOT NULL),
-bins AS (SELECT bin_key, avg(x) AS score, count(*) AS n, avg(hn) AS mean_human, avg(p) AS pass_rate FROM x GROUP BY bin_key)"""
+bins AS (SELECT bin_key, min(x) AS score, count(*) AS n, avg(hn) AS mean_human, avg(p) AS pass_rate FROM x GROUP BY bin_key)"""
 _HALVES = f"""WITH r AS (SELECT *, CASE WHEN evaluator_name <> 'exact_match' THEN '1' END AS v FROM eval_results),
 b AS (SELECT case_id, evaluator_name, v, arg_min(struct_pack(s := normalized_score, p := passed), (evaluated_at, struct_pack(s := normalized_score, p := passed))) AS x, count(*) AS n, bool_and(coalesce(normalized_score BETWEEN 0 AND 1, false)) AS ok FROM r WHERE evaluated_at < TIMESTAMP '{SPLIT}' GROUP BY ALL),
 c AS (SELECT case_id, evaluator_name, v, arg_min(struct_pack(s := normalized_score, p := passed), (evaluated_at, struct_pack(s := normalized_score, p := passed))) AS x, count(*) AS n, bool_and(coalesce(normalized_score BETWEEN 0 AND 1, false)) AS ok FROM r WHERE evaluated_at >= TIMESTAMP '{SPLIT}' GROUP BY ALL),

@@ -44,7 +44,7 @@ def expected_calibration_error(spark: SparkSession, d: str) -> DataFrame:
 
 
 def precision_recall_curve(spark: SparkSession, d: str) -> DataFrame:
-    return _round(T.precision_recall_curve(predictions(spark, d)))
+    return _round(T.precision_recall_curve(predictions(spark, d)).select("threshold", "tp", "fp", "precision", "recall"))
 
 
 def precision_recall_areas(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +138,7 @@ _PR = _P + """, g AS (SELECT p AS threshold, count(*) FILTER (label) AS t, count
   k AS (SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, tp / (tp + fp) AS precision, tp / nullif(al, 0) AS recall FROM c)"""
 _BINS = _P + """, b AS (SELECT least(CAST(floor(p * 10) AS INT), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(label::INT) AS fr FROM d GROUP BY 1),
   r AS (SELECT i::INT AS bin, i / 10.0::DOUBLE AS lower, (i + 1) / 10.0::DOUBLE AS upper, coalesce(n, 0) AS count, mp, fr, abs(mp - fr) AS gap, coalesce(abs(mp - fr), 0) * coalesce(n, 0) / greatest(sum(coalesce(n, 0)) OVER (), 1) AS contribution FROM range(10) t(i) LEFT JOIN b ON b.bin = i)"""
-_R = """WITH r AS (SELECT item_id, rater_id, arg_max(label, (rated_at, label)) AS label FROM agreement_ratings WHERE label IN ('resolved', 'partly_resolved', 'unresolved', 'harmful') AND item_id IS NOT NULL AND rater_id IS NOT NULL GROUP BY ALL)"""
+_R = """WITH r AS (SELECT item_id, rater_id, arg_max(label, (rated_at, label)) AS label FROM (SELECT * REPLACE (regexp_replace(lower(regexp_replace(label, '^\\s+|\\s+$', '', 'g')), '[ -]', '_', 'g') AS label) FROM agreement_ratings) WHERE label IN ('resolved', 'partly_resolved', 'unresolved', 'harmful') AND item_id IS NOT NULL AND rater_id IS NOT NULL GROUP BY ALL)"""
 _V = "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 _TOP = _V + ", x AS (SELECT q.vec_id AS query_id, e.vec_id AS hit_id, {0} AS dist FROM e q, e WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, hit_id) AS rank FROM x) SELECT query_id, hit_id, rank, round(dist, 5) AS distance FROM k WHERE rank <= 5"
 

@@ -131,6 +131,11 @@ def test_episodes_and_loops_against_plain_folds(spark):
     for e in D.loops(f, D.Limits(loop_calls=3)).collect():
         found.setdefault(e["trace_id"], []).append((e["first_idx"], e["last_idx"], e["cycle_length"]))
     assert {k: sorted(v) for k, v in found.items()} == {t: loops([k for k, _ in s], 3) for t, (s, _) in want_l.items()}
+    tiny = D.Facts.of(frame(spark, rows), limit=20)  # every trace counts as huge
+    for n in (2, 3, 4):
+        plain = sorted(map(tuple, D.loops(f, D.Limits(loop_calls=n)).collect()))
+        assert plain == sorted(map(tuple, D.loops(tiny, D.Limits(loop_calls=n), 20).collect())) == sorted((t, *x) for t, (s, _) in want_l.items() for x in loops([k for k, _ in s], n)), n
+    assert sorted(map(tuple, f.recovery().collect())) == sorted(map(tuple, tiny.recovery().collect()))
     assert D.repeated_tool_failure(f, D.Limits()).count() == sum(map(len, want_e.values()))
 
 
@@ -160,4 +165,4 @@ def test_recurrence(spark):
     b = spark.createDataFrame([("1", "d", "t1", "high", "s1", "a"), ("2", "d", "t1", "low", "s1", "a"), ("2", "d", "t1", "low", "s1", "a"), ("3", "d", "t2", "high", "s2", "b")], cols)
     c = spark.createDataFrame([("4", "d", "t9", "critical", "s3", "c"), ("5", "d", "t8", "low", "s4", "c")], cols)
     r = G.recurrence(b, c, b.select("failure_signature").filter("failure_signature = 's1'"), (4, 0)).first()
-    assert (r["baseline_occurrence_count"], r["baseline_affected_trace_count"], r["baseline_recurrence_rate"], r["candidate_recurrence_rate"], r["severe_novel_finding_ids"], r["evidence_complete"]) == (2, 1, 0.25, None, ["4"], False)
+    assert (r["baseline_occurrence_count"], r["baseline_affected_trace_count"], r["baseline_recurrence_rate"], r["candidate_recurrence_rate"], r["severe_novel_count"], r["evidence_complete"]) == (2, 1, 0.25, None, 1, False)

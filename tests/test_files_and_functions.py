@@ -73,7 +73,9 @@ def test_command_line(spark, traces, tmp_path, monkeypatch):
     monkeypatch.setattr("spanwright.cli.local_session", lambda **k: spark)
     assert main(["detect", "--traces", traces, "--out", str(tmp_path / "f"), "--groups", str(tmp_path / "g"), "--packet", str(tmp_path / "p.json")]) == 0
     found = [json.loads(x) for p in (tmp_path / "f").glob("part*") for x in p.read_text().splitlines()]
-    assert {x["detector_id"] for x in found} == {"terminal_tool_failure"} and json.loads((tmp_path / "p.json").read_text())["trace_ids"] == ["t1"]
+    assert {x["detector_id"] for x in found} == {"terminal_tool_failure"} and json.loads((tmp_path / "p.json").read_text())["trace_count"] == 1
+    members = [json.loads(x) for p in (tmp_path / "p.json.members").glob("part*") for x in p.read_text().splitlines()]
+    assert [x["id"] for x in members if x["kind"] == "trace"] == ["t1"]
     assert main(["extract", "--traces", traces, "--out", str(tmp_path / "c"), "--extractor", "openinference"]) == 0
     assert main(["validate", "--cases", str(tmp_path / "c"), "--out", str(tmp_path / "v")]) == 0
 
