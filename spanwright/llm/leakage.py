@@ -1,9 +1,12 @@
 """Passages of held-out test items in a corpus, whole, in part or slightly changed.
 
-Method: rare n-gram seeds (two and three words that stand in at most ``SEED_ITEMS`` items) join corpus passages to test items;
-Smith-Waterman alignment of words, with an inexact credit for misspelt ones, then scores each pair of passage and item. An
-item leaked if the alignment has a stretch of at least ``least`` of its words of which at most ``changed`` (a share) differ.
-Words inside runs of ``SHARED`` words or more that stand in several items don't count. Where the passages of several items
+Method: rare n-gram seeds (two and three words that stand in at most ``SEED_ITEMS`` items, and of each ``SEED_WORDS`` places of an item the rarest
+whatever its number, so that every passage has seeds however many items there are) join corpus passages to test items;
+Smith-Waterman alignments of words, with an inexact credit for misspelt ones, then score each pair of passage and item. An
+item leaked if an alignment has a stretch of at least ``least`` of its words of which at most ``changed`` (a share) differ.
+Words inside runs of ``SHARED`` words or more that stand in several items don't count and score nothing in the alignment. After an alignment
+its place in the text is masked and the next best is taken, as long as one could hold such a stretch. Long passages are aligned in
+overlapping windows of four times the item's length. Where the passages of several items
 overlap, the one with most equal words is kept; of several with equally many none, as the wording then is that of several.
 
 The items are the stated query set: they are taken in blocks of ``BLOCK`` items, each sent to all tasks, and every block meets
@@ -28,13 +31,14 @@ from pyspark.sql import functions as F
 from spanwright.session import Scratch
 
 SEED_ITEMS = 3
+SEED_WORDS = 6
 SHARED = 12
 BLOCK = 20_000
 REACH = 24
 KEPT_WORDS = 200_000
 LONGEST = 40
 
-_MARK = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&[a-z]{2,6};|_")
+_MARK = re.compile(r"</?[a-zA-Z][^<>]*>|&[a-z]{2,6};|_")
 _WORD = re.compile(r"\w+")
 
 
@@ -97,41 +101,50 @@ class Item:
         self.id, self.words, self.counts = item_id, text_words, np.array(counts, bool)
 
 
-def align(item: Item, doc: list[str], lo: int, hi: int, spelling: Spelling) -> tuple[np.ndarray, np.ndarray]:
-    """Smith-Waterman of the item with words lo..hi of a document. Per item word: its place in the document or -1, and 2 if equal, 1 if alike, 0 else."""
-    a, b = item.words, doc[lo:hi]
-    n, m = len(a), len(b)
+def _scores(item: Item, b: list[str], spelling: Spelling) -> np.ndarray:
+    """Of each word of the item with each of a passage: 2 if equal, 1 if alike, else -1; 0 instead of 2 and 1 where the item's word doesn't count."""
+    a = item.words
     code = {w: i for i, w in enumerate(dict.fromkeys(a))}
     ca, cb = np.array([code[w] for w in a]), np.array([code.get(w, -1) for w in b])
-    score = np.full((n, m), -1.0)
-    score[ca[:, None] == cb[None, :]] = 2.0
-    strange = [j for j in range(m) if cb[j] < 0]
+    score = np.where(ca[:, None] == cb[None, :], 2.0, -1.0)
     near: dict[str, list[int]] = {}
-    for j in strange:
+    for j in np.flatnonzero(cb < 0):
         w = b[j]
         if w not in near:
             near[w] = [i for x in spelling.near(w) if x in code for i in np.flatnonzero(ca == code[x])]
         for i in near[w]:
             score[i, j] = 1.0
+    return np.where(item.counts[:, None], score, np.minimum(score, 0.0))
+
+
+def alignments(item: Item, doc: list[str], lo: int, hi: int, spelling: Spelling, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Smith-Waterman of the item with words lo..hi of a document, the best first, each masked for the next, while they score ``least``. Per item word: its place in the document or -1, and 2 if
+    equal, 1 if alike, 0 else."""
+    score = _scores(item, doc[lo:hi], spelling)
+    n, m = score.shape
     gap = 1.0
-    h = np.zeros((n + 1, m + 1))
     ramp = gap * np.arange(m + 1)
-    for i in range(n):
-        np.maximum(h[i, :-1] + score[i], h[i, 1:] - gap, out=h[i + 1, 1:])
-        # Gaps along the row: the best of all places before, less their distance; 0 at least, as place 0 is 0.
-        h[i + 1] = np.maximum(np.maximum.accumulate(h[i + 1] + ramp) - ramp, 0)
-    place, how = np.full(n, -1), np.zeros(n, np.int8)
-    i, j = np.unravel_index(h.argmax(), h.shape)
-    while i > 0 and j > 0 and h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + score[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-            place[i] = lo + j
-            how[i] = 2 if score[i, j] == 2 else 1 if score[i, j] == 1 else 0
-        elif h[i, j] == h[i - 1, j] - gap:
-            i -= 1
-        else:
-            j -= 1
-    return place, how
+    while True:
+        h = np.zeros((n + 1, m + 1))
+        for i in range(n):
+            np.maximum(h[i, :-1] + score[i], h[i, 1:] - gap, out=h[i + 1, 1:])
+            # Gaps along the row: the best of all places before, less their distance; 0 at least, as place 0 is 0.
+            h[i + 1] = np.maximum(np.maximum.accumulate(h[i + 1] + ramp) - ramp, 0)
+        i, j = np.unravel_index(h.argmax(), h.shape)
+        if h[i, j] < least:
+            return
+        place, how, last = np.full(n, -1), np.zeros(n, np.int8), j
+        while i > 0 and j > 0 and h[i, j] > 0:
+            if h[i, j] == h[i - 1, j - 1] + score[i - 1, j - 1]:
+                i, j = i - 1, j - 1
+                place[i] = lo + j
+                how[i] = 2 if score[i, j] == 2 else 1 if score[i, j] == 1 else 0
+            elif h[i, j] == h[i - 1, j] - gap:
+                i -= 1
+            else:
+                j -= 1
+        yield place, how
+        score[:, j:last] = -1e9
 
 
 def stretch(item: Item, place: np.ndarray, how: np.ndarray, least: int, changed: float) -> tuple[int, int, int] | None:
@@ -209,10 +222,14 @@ class Block:
                     continue
                 if len(group) > 1:
                     n = len(item.words)
-                    place, how = align(item, doc, max(0, group[0] - n), min(len(doc), group[-1] + n), self.spelling)
-                    s = stretch(item, place, how, least, changed)
-                    if s:
-                        found.append((*s, item.id))
+                    lo, hi = max(0, group[0] - n), min(len(doc), group[-1] + n)
+                    # What a stretch scores at least, were no word inserted; half of it leaves room for those.
+                    could = least * (2 - 3 * changed) / 2
+                    for at in range(lo, max(lo + 1, hi - 2 * n), 2 * n):
+                        for place, how in alignments(item, doc, at, min(hi, at + 4 * n), self.spelling, could):
+                            s = stretch(item, place, how, least, changed)
+                            if s:
+                                found.append((*s, item.id))
                 group = [p] if p is not None else []
         out = []
         for eq, lo, hi, i in found:
@@ -235,9 +252,13 @@ def prepared(items: DataFrame, item: str, text: str) -> DataFrame:
 
     base = items.select(F.col(item).alias("_i"), split(F.col(text)).alias("words")).filter(F.col("_i").isNotNull() & (F.size("words") > 0)).dropDuplicates()
     w = F.col("words")
-    g = base.select("_i", "words", F.explode(F.concat(_grams(2)(w), _grams(3)(w))).alias("g"))
-    rare = g.groupBy("g").agg(F.count_distinct("_i").alias("n")).filter(F.col("n") <= SEED_ITEMS).select("g")
-    seeds = g.join(rare, "g").groupBy("_i", "words").agg(F.collect_set("g").alias("seeds"))
+    at = lambda n: F.transform(_grams(n)(w), lambda x, p: F.struct(x.alias("g"), F.floor(p / SEED_WORDS).alias("b")))
+    g = base.select("_i", "words", F.explode(F.concat(at(2), at(3))).alias("x")).select("_i", "words", "x.g", "x.b")
+    n_items = g.groupBy("g").agg(F.count_distinct("_i").alias("n"))
+    counted = g.join(n_items, "g")
+    rare = counted.filter(F.col("n") <= SEED_ITEMS).select("_i", "words", "g")
+    rarest = counted.groupBy("_i", "words", "b").agg(F.min(F.struct("n", "g")).alias("m")).select("_i", "words", F.col("m.g").alias("g"))
+    seeds = rare.unionByName(rarest).groupBy("_i", "words").agg(F.collect_set("g").alias("seeds"))
     runs = base.select("_i", "words", F.posexplode(_grams(SHARED)(w)).alias("p", "g"))
     several = runs.groupBy("g").agg(F.count_distinct("_i").alias("n")).filter(F.col("n") > 1).select("g")
     masked = runs.join(several, "g").groupBy("_i", "words").agg(F.collect_set("p").alias("ps"))

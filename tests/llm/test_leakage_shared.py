@@ -161,3 +161,28 @@ def test_spelling_finds_what_is_alike():
     for _ in range(300):
         w = "".join(r.choice("abcde") for _ in range(r.randrange(1, 13)))
         assert sorted(s.near(w)) == sorted(v for v in voc if leakage.alike(w, v))
+
+
+def test_own_words_are_found_beside_shared_wording(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    shared, own, other = [word() for _ in range(30)], [word() for _ in range(20)], [word() for _ in range(20)]
+    noise = lambda n: [word() for _ in range(n)]
+    items = spark.createDataFrame([(1, " ".join(shared + own)), (2, " ".join(shared + other))], "item_id bigint, text string")
+    docs = {
+        1: own, 2: own + noise(3) + shared, 3: shared + noise(3) + own, 4: shared, 5: own[:17], 6: noise(900) + own + noise(500) + shared + noise(700) + other,
+        7: ["<a href=" + "x" * 400 + ">"] + own[:10] + ["</a>"] + own[10:], 8: [],
+    }
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id bigint, text string")
+    got = sorted(map(tuple, leakage.leaks(df, "doc_id", "text", items, "item_id", "text").collect()))
+    assert got == [(1, 1), (2, 1), (3, 1), (6, 1), (6, 2), (7, 1)]
+
+
+def test_items_of_one_template_have_seeds(spark):
+    """Twenty items that share all their two- and three-word stretches, in different order, still have seeds."""
+    r = random.Random(2)
+    parts = [[f"w{i}a", f"w{i}b", f"w{i}c"] for i in range(12)]
+    rows = [(k, " ".join(w for p in r.sample(parts, 12) for w in p)) for k in range(20)]
+    items = spark.createDataFrame(rows, "item_id bigint, text string")
+    ready = leakage.prepared(items, "item_id", "text").collect()
+    assert len(ready) == 20 and min(len(x["seeds"]) for x in ready) >= 6
