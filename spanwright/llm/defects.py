@@ -7,7 +7,8 @@ An answer gets the first defect of this order that holds: ``empty_answer`` (null
 refusal phrase, unless the expected answer has one), ``copied_question`` (all its words but a short lead-in stand in the question, in
 stretches of at least three, and they are most of it, unless the question asks for repetition or the answer is a bare value), ``other_language`` (stop words vote for
 another language than those of the question, unless the question names a language to answer in or asks for repetition),
-``truncated_answer`` (ends within a sentence, a list, a number or an open delimiter; a bare value, list or structure is complete).
+``truncated_answer`` (ends within a sentence, a list, a number or an open delimiter; what has itself the form of a bare value or structure is complete,
+and so is a bare list of values if the question asks for one).
 
 Defined results: rows with a null id give none; repeated rows of an id give one row, with the first defect of that order; a null question counts as empty
 text; texts of any length are read whole; an empty table gives no rows; other columns are ignored.
@@ -30,7 +31,7 @@ DEFECTS = ["empty_answer", "refusal", "copied_question", "other_language", "trun
 NOTHING = ["n/a", "na", "none", "null", "nil", "nan", "empty", "undefined", "tbd", "todo", "no answer", "no response", "no output", "not available", "nothing", "keine antwort", "keine", "nichts", "aucune", "aucune réponse", "rien", "ninguna", "nada", "sin respuesta", "vacío", "leer", "vide"]
 REFUSALS = [
     "can't help with", "cannot help with", "can't help you", "cannot help you", "can not help", "unable to help", "not able to help", "won't help", "can't assist", "cannot assist", "can not assist", "unable to assist", "not able to assist", "can't provide", "cannot provide", "can not provide", "unable to provide", "not able to provide", "won't be able to", "will not be able to", "unable to comment", "can't comment", "cannot comment", "must refuse", "have to refuse", "i refuse", "have to decline", "must decline", "i decline", "beyond what i'm allowed", "beyond what i am allowed", "i'm not allowed", "i am not allowed", "can't answer", "cannot answer", "unable to answer", "not able to answer", "can't share", "cannot share", "not able to share", "can't comply", "cannot comply", "can't discuss", "cannot discuss", "can't fulfill", "cannot fulfill", "against my guidelines", "i can't do that", "i cannot do that", "i'd rather not", "not something i can", "not something i am able", "isn't something i can",
-    "darf ich nicht", "ich darf nicht", "kann ich nicht helfen", "kann ich ihnen nicht", "ich kann nicht helfen", "kann dabei nicht helfen", "kann ich leider nicht", "ich kann ihnen nicht", "ich kann ihnen dabei nicht", "kann ich nicht beantworten", "kann ich keine", "ich kann diese", "muss ich ablehnen", "ablehnen", "nicht in der lage", "ist mir nicht möglich", "nicht weiterhelfen",
+    "darf ich nicht", "ich darf nicht", "kann ich nicht helfen", "kann ich ihnen nicht", "ich kann nicht helfen", "kann dabei nicht helfen", "kann ich leider nicht", "ich kann ihnen nicht", "ich kann ihnen dabei nicht", "kann ich nicht beantworten", "frage nicht beantworten", "anfrage nicht beantworten", "kann ich keine", "ich kann diese", "muss ich ablehnen", "ablehnen", "nicht in der lage", "ist mir nicht möglich", "nicht weiterhelfen",
     "ne peux pas", "ne puis pas", "ne suis pas en mesure", "dois refuser", "dois décliner", "ne m'est pas possible", "pas autorisé à", "refuse de répondre", "suis dans l'impossibilité",
     "no puedo", "no me es posible", "debo rechazar", "tengo que rechazar", "no estoy en condiciones", "no estoy autorizado", "no me está permitido", "debo negarme", "me niego",
 ]
@@ -171,26 +172,35 @@ def truncated(question: str, answer: str) -> bool:
     last = a.split()[-1]
     if re.fullmatch(r"\D*\d+[.,]", last) and re.search(re.escape(last) + r"\d", question):
         return True  # within a number of the question
-    if _CUT.search(a):
-        return True
+    if _CUT.search(a) or re.search(r"(?:^|\n)\s*(?:[-*•]|\d+[.)])\s*$", a):
+        return True  # a bare marker is no item
     lines = [x for x in a.split("\n") if x.strip()]
     listed = [bool(_LIST.match(x)) for x in lines]
+    asked = bool(_BARE.search(question))
     if any(listed):
         items = [x.strip() for x, is_item in zip(lines, listed) if is_item]
         stops = [bool(_ENDS.search(x)) for x in items]
-        # A list whose other items end with a stop breaks off if its last doesn't; a bare marker is no item.
-        return not listed[-1] and not _ENDS.search(a) and not _BARE.search(question) or (len(items) > 1 and all(stops[:-1]) and not stops[-1])
-    if re.search(r"(?:^|\n)\s*(?:[-*•]|\d+[.)])\s*$", a):
-        return True
+        # A list whose other items end with a stop breaks off if its last doesn't.
+        return not listed[-1] and not _ENDS.search(a) or (len(items) > 1 and all(stops[:-1]) and not stops[-1])
     if _ENDS.search(a):
         return False
-    return len(words(a)) > 3 and not _BARE.search(question) or (not _BARE.search(question) and len(words(a)) > 0 and not _value(a))
+    # What ends without a stop is whole only as a bare value, or as a bare list of values where one was asked for.
+    return not (_value(a) or asked and _bare_list(a))
+
+
+_ANY_STOP = frozenset().union(*_STOPS.values())
 
 
 def _value(a: str) -> bool:
     """One to three words of which one holds a digit, or a yes or no."""
     ws = words(a)
-    return len(ws) <= 3 and (any(any(c.isdigit() for c in w) for w in ws) or ws[0] in ("yes", "no", "ja", "nein", "oui", "non", "sí", "si", "true", "false", "ok"))
+    return bool(ws) and len(ws) <= 3 and (any(any(c.isdigit() for c in w) for w in ws) or ws[0] in ("yes", "no", "ja", "nein", "oui", "non", "sí", "si", "true", "false", "ok"))
+
+
+def _bare_list(a: str) -> bool:
+    """Values divided by commas, semicolons, bars or line ends, each of a few words and none ending with a stop word, as a sentence's parts would."""
+    parts = [words(x) for x in re.split(r"[,;|\n]|: ", a)]
+    return all(ws and len(ws) <= 4 and ws[-1] not in _ANY_STOP for ws in parts)
 
 
 def defect(question: str | None, answer: str | None, expected: str | None) -> str | None:
