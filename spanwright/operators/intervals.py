@@ -1,12 +1,12 @@
 """Continuous periods of overlapping intervals, and the gaps between them.
 
-Starts and ends are sorted independently per entity. The i-th smallest end closes a period exactly if the
-next-ranked start lies beyond it, that is if as many starts as ends stand at or before it; likewise a start
-opens a period if as many starts as ends stand before it. The k-th opening and the k-th closing boundary
-pair to a period, the k-th closing and the next opening boundary to a gap.
+Starts and ends are ranked independently per entity. The i-th smallest end closes a period exactly if the start of rank i + 1 lies
+beyond it (or there is none): then all of the i intervals begun have ended. So each end meets the start of the next rank, and where
+start exceeds end there is a gap. The boundaries on both sides of gaps, in their order, pair to periods.
 
-Ranks are running counts over (entity, slice), so that a huge entity is spread over many tasks; the counts
-of earlier slices come from one row per slice.
+An end of several equal ones bears the last of their ranks, a start the first of theirs, so that one comparison a value suffices.
+One shuffle by entity serves the ranks, the meeting and the pairing. Huge entities are cut along time into slices: ranks then go
+on from the counts of earlier slices, one row a slice, and ends meet starts by a second shuffle on (entity, rank).
 
 Defined results: rows with a null entity, a null bound, or an end not after its start don't count; equal
 intervals count once in effect; periods that touch are one; an empty table gives no rows; columns of the
@@ -19,67 +19,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanwright.operators.slices import LIMIT, with_slices
+from spanwright.operators.slices import LIMIT, large_keys, running, with_slices
 from spanwright.session import Scratch
 
 
-def _carried(df: DataFrame, totals: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the entity's earlier slices (totals: one row a slice)."""
-    w = W.partitionBy("_e").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    return df.join(totals.select("_e", "_slice", F.coalesce(F.sum(value).over(w), F.lit(0)).alias(name)), ["_e", "_slice"])
-
-
-def boundaries(df: DataFrame, entity: str, start: str, end: str, limit: int = LIMIT) -> DataFrame:
-    """Rows (``entity``, ``k`` bigint from 1, ``instant`` bigint, ``opens`` boolean): the boundaries of the periods.
-
-    ``start`` and ``end`` are bigint columns.
-    """
+def _met(df: DataFrame, entity: str, start: str, end: str, limit: int) -> tuple[DataFrame, bool]:
+    """Rows (``_e``, ``_k``, ``_end``, ``_start``): of each rank ``_k`` the end that bears it and the start of the next, null where there is none. Also whether an entity was cut."""
     scratch = Scratch(df.sparkSession, "intervals")
     ok = df.select(F.col(entity).alias("_e"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_t")).filter(
         F.col("_e").isNotNull() & (F.col("_t") > F.col("_s"))
     )
-    marks = ok.select("_e", F.explode(F.array(F.struct(F.col("_s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("_t").alias("t"), F.lit(-1).alias("d")))).alias("m")).select(
-        "_e", F.col("m.t").alias("_t"), F.col("m.d").alias("_d")
+    marks = ok.select("_e", F.explode(F.array(F.struct(F.col("_s").alias("t"), F.lit(True).alias("b")), F.struct(F.col("_t").alias("t"), F.lit(False).alias("b")))).alias("m")).select(
+        "_e", F.col("m.t").alias("_t"), F.col("m.b").alias("_begins")
     )
-    marks, cut = with_slices(marks, "_e", "_t", scratch, limit)
-    # Equal instants fold map-side before the rows move; the net count decides, as a touching end and start cancel.
-    folded = marks.groupBy("_e", "_slice", "_t").agg(F.sum("_d").cast("long").alias("_d"))
-    w = W.partitionBy("_e", "_slice").orderBy("_t").rowsBetween(W.unboundedPreceding, W.currentRow)
+    big = large_keys(marks, "_e", limit, scratch)
+    marks, cut = with_slices(marks, "_e", "_t", scratch, limit, big)
+    marks = scratch.keep(marks) if cut else marks.repartition("_e")
+    w = W.partitionBy("_e", "_slice", "_begins").orderBy("_t") if cut else W.partitionBy("_e", "_begins").orderBy("_t")
+    # Starts before this one; ends up to this one.
+    ranked = marks.withColumn("_k", F.when(F.col("_begins"), F.rank().over(w) - 1).otherwise(F.count(F.lit(1)).over(w.rangeBetween(W.unboundedPreceding, W.currentRow))).cast("long"))
     if cut:
-        folded = scratch.keep(folded)
-        totals = folded.groupBy("_e", "_slice").agg(F.sum("_d").alias("_v"))
-        ranked = _carried(folded, totals, "_v", "_before").withColumn("_after", F.sum("_d").over(w) + F.col("_before"))
-    else:
-        ranked = folded.withColumn("_after", F.sum("_d").over(w))
-    edges = ranked.select("_e", "_slice", "_t", "_after", (F.col("_after") - F.col("_d")).alias("_prior")).filter(
-        ((F.col("_after") == 0) | (F.col("_prior") == 0)) & (F.col("_after") != F.col("_prior"))
-    )
-    opens = (F.col("_prior") == 0).alias("opens")
-    # A closing boundary bears the number of the period that it closes: the openings up to it.
-    k = F.sum(F.when(F.col("_prior") == 0, 1).otherwise(0)).over(w)
-    if cut:
-        edges = scratch.keep(edges)
-        totals = edges.groupBy("_e", "_slice").agg(F.sum(F.when(F.col("_prior") == 0, 1).otherwise(0)).alias("_v"))
-        numbered = _carried(edges, totals, "_v", "_before").withColumn("k", k + F.col("_before"))
-    else:
-        numbered = edges.withColumn("k", k)
-    return numbered.select(F.col("_e").alias(entity), F.col("k").cast("long").alias("k"), F.col("_t").alias("instant"), opens)
+        before = W.partitionBy("_e", "_begins").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+        totals = marks.groupBy("_e", "_slice", "_begins").agg(F.count(F.lit(1)).alias("_n"))
+        totals = totals.select("_e", "_slice", "_begins", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+        ranked = ranked.join(totals, ["_e", "_slice", "_begins"]).withColumn("_k", F.col("_k") + F.col("_base"))
+    met = ranked.groupBy("_e", "_k").agg(F.max(F.when(~F.col("_begins"), F.col("_t"))).alias("_end"), F.max(F.when(F.col("_begins"), F.col("_t"))).alias("_start"))
+    return met, cut
 
 
-def periods(df: DataFrame, entity: str, start: str, end: str, limit: int = LIMIT) -> DataFrame:
-    """Rows (``entity``, ``period_start``, ``period_end``): the merged periods."""
-    b = boundaries(df, entity, start, end, limit)
-    return b.groupBy(entity, "k").agg(F.min("instant").alias("period_start"), F.max("instant").alias("period_end")).drop("k")
+def gaps(df: DataFrame, entity: str, start: str, end: str, limit: int = LIMIT) -> DataFrame:
+    """Rows (``entity``, ``gap_start``, ``gap_end``): between the end of a period and the start of the next. ``start`` and ``end`` are bigint columns."""
+    met, _ = _met(df, entity, start, end, limit)
+    return met.filter(F.col("_start") > F.col("_end")).select(F.col("_e").alias(entity), F.col("_end").alias("gap_start"), F.col("_start").alias("gap_end"))
 
 
-def gaps(df: DataFrame, entity: str, start: str, end: str, limit: int = LIMIT) -> DataFrame:
-    """Rows (``entity``, ``gap_start``, ``gap_end``): between the end of a period and the start of the next."""
-    b = boundaries(df, entity, start, end, limit)
-    key = F.when(F.col("opens"), F.col("k") - 1).otherwise(F.col("k")).alias("k")
-    return (
-        b.select(entity, key, "instant")
-        .groupBy(entity, "k")
-        .agg(F.min("instant").alias("gap_start"), F.max("instant").alias("gap_end"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") == 2)
-        .select(entity, "gap_start", "gap_end")
-    )
+def periods(df: DataFrame, entity: str, start: str, end: str, limit: int = LIMIT) -> DataFrame:
+    """Rows (``entity``, ``period_start``, ``period_end``): the merged periods.
+
+    A period lasts from the start behind a gap (or the first) to the end before the next gap (or the last).
+    """
+    met, cut = _met(df, entity, start, end, limit)
+    opens = (F.col("_start") > F.col("_end")) | (F.col("_k") == 0)
+    if not cut:
+        met = met.withColumn("_last", F.max("_end").over(W.partitionBy("_e")))
+        out = met.filter(opens).withColumn("_until", F.coalesce(F.lead("_end").over(W.partitionBy("_e").orderBy("_k")), "_last"))
+        return out.select(F.col("_e").alias(entity), F.col("_start").alias("period_start"), F.col("_until").alias("period_end"))
+    # Numbered openings and closings pair by number, an entity's gaps being as many as it may have. The last closing is the last end.
+    scratch = Scratch(df.sparkSession, "periods")
+    met = scratch.keep(met)
+    edges = scratch.keep(running(met.filter(opens), "_e", "_k", {"_n": "1L"}, limit))
+    last = edges.groupBy("_e").agg(F.max("_n").alias("_i")).join(met.groupBy("_e").agg(F.max("_end").alias("period_end")), "_e")
+    closes = edges.filter("_k > 0").select("_e", (F.col("_n") - 1).alias("_i"), F.col("_end").alias("period_end")).unionByName(last)
+    return edges.select("_e", F.col("_n").alias("_i"), F.col("_start").alias("period_start")).join(closes, ["_e", "_i"]).select(F.col("_e").alias(entity), "period_start", "period_end")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.functions.instants import instant_us
-from spanwright.operators.hierarchy import hierarchy
+from spanwright.operators.hierarchy import hierarchy, members_below
 from spanwright.operators.intervals import gaps, periods
-from spanwright.session import table
+from spanwright.session import Scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,11 +17,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Per span the number of spans below it and, where the preorder is well formed, that its range holds them all."""
+    """Per span the number of spans below it, its range in the preorder, and where it stands among all (trees, cycles, below cycles)."""
     h = hierarchy(table(spark, d, "spans"), "trace_id", "id", "parent_id")
     return h.select("trace_id", F.col("node_id").alias("span_id"), (F.col("subtree_size") - 1).alias("n_below"), (F.col("rgt") - F.col("lft")).alias("width"), "status")
 
 
+def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All spans below each span, by the nested-set ranges: (trace_id, ancestor_id, span_id, distance)."""
+    t = Scratch(spark, "descendants").keep(hierarchy(table(spark, d, "spans"), "trace_id", "id", "parent_id"))
+    return members_below(t, "trace_id", t.select("trace_id", "node_id")).withColumnRenamed("node_id", "span_id")
+
+
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     h = hierarchy(table(spark, d, "spans"), "trace_id", "id", "parent_id", with_path=True, with_ranges=False)
     return h.filter("path is not null").select("trace_id", F.col("node_id").alias("span_id"), F.array_join("path", "/").alias("path"))
@@ -40,7 +46,7 @@ def p6_periods(spark: SparkSession, d: str) -> DataFrame:
     return periods(_intervals(spark, d), "trace_id", "s", "e").select("trace_id", F.col("period_start").alias("period_start_us"), F.col("period_end").alias("period_end_us"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranges": p1_ranges, "p1_paths": p1_paths, "p6_found": p6_found, "p6_periods": p6_periods}
+QUERIES = {"p1_found": p1_found, "p1_ranges": p1_ranges, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p6_found": p6_found, "p6_periods": p6_periods}
 
 _UP = """
 WITH RECURSIVE nodes AS (
@@ -81,6 +87,8 @@ SQL = {
        CASE WHEN parent IS NULL THEN coalesce(n.n, 0) END AS n_below, CASE WHEN parent IS NULL THEN coalesce(n.n, 0) END AS width,
        CASE WHEN parent IS NULL THEN 'tree' WHEN back = 1 THEN 'cycle' ELSE 'below_cycle' END AS status
      FROM ended e LEFT JOIN n ON n.trace_id = e.trace_id AND n.id = e.id""",
+    "p1_descendants": _UP + """, a AS (SELECT trace_id, id AS span_id, unnest(way[2:]) AS ancestor_id, generate_subscripts(way[2:], 1) AS distance FROM ended WHERE parent IS NULL)
+       SELECT trace_id, ancestor_id, span_id, CAST(distance AS BIGINT) AS distance FROM a""",
     "p1_paths": _UP + "SELECT trace_id, id AS span_id, array_to_string(list_reverse(way), '/') AS path FROM ended WHERE parent IS NULL",
     "p6_found": _PERIODS + "SELECT trace_id, reached AS gap_start_us, s AS gap_end_us FROM r WHERE s > reached",
     "p6_periods": _PERIODS + "SELECT trace_id, min(s) AS period_start_us, max(e) AS period_end_us FROM g GROUP BY trace_id, k",
