@@ -48,16 +48,16 @@ SCALE = ["resolved", "partly_resolved", "unresolved", "harmful"]
 
 
 def _consensus(spark: SparkSession, d: str) -> Consensus:
-    return Consensus(usable(table(spark, d, "agreement_ratings"), "item_id", "rater_id", on_scale(F.col("label"), SCALE), "rated_at", 3))
+    return Consensus(usable(table(spark, d, "agreement_ratings"), "item_id", "rater_id", on_scale(F.col("label"), SCALE), "rated_at"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _consensus(spark, d).items.select(F.col("_i").alias("item_id"), "label")
+    return _consensus(spark, d).items.filter("n_annotators >= 3").select(F.col("_i").alias("item_id"), "label")
 
 
 def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Per item the number of raters and the share of agreeing pairs among them."""
-    i = _consensus(spark, d).items
+    """Per item of at least two raters their number and the share of agreeing pairs among them."""
+    i = _consensus(spark, d).items.filter("n_annotators >= 2")
     return i.select(F.col("_i").alias("item_id"), "n_annotators", F.round("agreement", 6).alias("agreement"))
 
 
@@ -133,7 +133,7 @@ SQL = {
       SELECT item_id, rater_id, rated_at, regexp_replace(lower(trim(label)), '[ -]', '_', 'g') AS l FROM agreement_ratings WHERE item_id IS NOT NULL AND rater_id IS NOT NULL
     ), o AS (SELECT item_id, rater_id, arg_max(l, rated_at) AS l FROM u WHERE l IN ('resolved', 'partly_resolved', 'unresolved', 'harmful') GROUP BY ALL),
     c AS (SELECT item_id, l, count(*) AS v FROM o GROUP BY ALL)
-    SELECT item_id, CAST(sum(v) AS BIGINT) AS n_annotators, round(sum(v * (v - 1)) / (sum(v) * (sum(v) - 1.0)), 6) AS agreement FROM c GROUP BY item_id HAVING sum(v) >= 3""",
+    SELECT item_id, CAST(sum(v) AS BIGINT) AS n_annotators, round(sum(v * (v - 1)) / (sum(v) * (sum(v) - 1.0)), 6) AS agreement FROM c GROUP BY item_id HAVING sum(v) >= 2""",
     "p5_found": _RUNS + "SELECT trace_id, first_span_id, last_span_id, n_events FROM r WHERE n_events >= 2",
     "p5_runs": _RUNS + "SELECT * FROM r",
     "p7_found": _EVENTS

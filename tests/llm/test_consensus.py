@@ -37,6 +37,9 @@ def test_recovers_labels_that_the_majority_misses(spark):
     got = {x["_i"]: x["label"] for x in c.items.collect()}
     right = sum(got[i] == t for i, t in truth.items()) / len(truth)
     assert right > 0.93
+    assert c.converged and c.rounds < 30
+    joined = Consensus(votes, annotators_limit=0)
+    assert sorted(map(tuple, joined.items.select("_i", "label", "n_annotators").collect())) == sorted(map(tuple, c.items.select("_i", "label", "n_annotators").collect()))
     w = {x["_a"]: x["weight"] for x in c.annotators.collect()}
     assert min(w[a] for a in good) > 2 * max(w[a] for a in bad)
 
