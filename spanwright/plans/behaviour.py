@@ -85,14 +85,14 @@ def kind_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = _findings(spark, d)
+    f = Scratch(spark, "findings").keep(_findings(spark, d))  # read several times
     return f.filter(F.col("created_at") < SPLIT), f.filter(F.col("created_at") >= SPLIT)
 
 
 def recurrence_compare(spark: SparkSession, d: str) -> DataFrame:
     """The findings before ``SPLIT`` against those from then on; observed are the traces whose last instant lies in the window."""
     f = _facts(spark, d)
-    found = D.detect(f)
+    found = Scratch(spark, "findings").keep(D.detect(f))  # read several times
     n = f.outcomes.agg(F.count_if(F.col("observed_at") < SPLIT), F.count_if(F.col("observed_at") >= SPLIT)).first()
     b, c = found.filter(F.col("created_at") < SPLIT), found.filter(F.col("created_at") >= SPLIT)
     r = G.recurrence(b, c, b.filter("severity = 'high'").select("failure_signature").distinct(), (n[0], n[1]))
@@ -110,7 +110,7 @@ def finding_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_packet(spark: SparkSession, d: str) -> DataFrame:
-    return G.evidence_packet(_findings(spark, d)).select("trace_count", "finding_count", "evidence_count", "trace_hash", "finding_hash", "evidence_hash", "created_at")
+    return G.evidence_packet(Scratch(spark, "findings").keep(_findings(spark, d))).select("trace_count", "finding_count", "evidence_count", "trace_hash", "finding_hash", "evidence_hash", "created_at")
 
 
 def finding_projections(spark: SparkSession, d: str) -> DataFrame:
@@ -229,16 +229,7 @@ SQL = {
       walk AS (SELECT trace_id, seg, tool_name, who, fp, by_attr, ek, list(idx ORDER BY idx) AS l FROM q GROUP BY ALL),
       fold AS (SELECT trace_id, list_reduce(list_transform(l, lambda i: [[i, i, 1]]), lambda acc, x: CASE WHEN x[1][1] - acc[len(acc)][1] < 8 THEN list_concat(acc[1:len(acc) - 1], [[acc[len(acc)][1], x[1][1], acc[len(acc)][3] + 1]]) ELSE list_concat(acc, x) END) AS e FROM walk),
       u AS (SELECT trace_id, unnest(e) AS e FROM fold) SELECT trace_id, e[1] AS first_idx, e[2] AS last_idx, e[3] AS n FROM u WHERE e[3] >= 2""",
-    "first_success_after_failure": _CALLS
-    + """, n AS (SELECT *, min(CASE WHEN status = 'succeeded' THEN struct_pack(p := pos, s := span_id) END) OVER (PARTITION BY trace_id, tool_name ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM calls)
-      SELECT trace_id, tool_name, pos AS failure_sequence, nxt.p AS success_sequence, nxt.s AS success_span_id FROM n WHERE status IN ('failed', 'timed_out')""",
     "findings_by_detector": _CALLS + _ALL + " SELECT detector_id, severity, count(*) AS n, count(DISTINCT trace_id) AS traces FROM f GROUP BY ALL",
-    "signature_groups": _CALLS
-    + f""", sg AS (SELECT {_hashed(["'terminal_tool_failure'", "tool_name", "coalesce(operation, '')", "coalesce(error_kind, '')"])} AS failure_signature, 'high' AS severity, trace_id FROM rec WHERE requirement = 'required' AND status IN ('failed', 'timed_out', 'cancelled') AND recovery = 'unrecovered'
-      UNION ALL SELECT {_hashed(["'uncertain_mutation_state'", "tool_name", "coalesce(operation, '')", "coalesce(error_kind, '')"])}, 'high', trace_id FROM rec WHERE effect = 'mutating' AND status IN ('timed_out', 'unknown') AND recovery <> 'recovered'
-      UNION ALL SELECT {_hashed(["'missing_resolution'", "'final_outcome'", "''", "''"])}, 'medium', trace_id FROM outcomes WHERE final_status IN ('incomplete', 'unknown')
-      UNION ALL SELECT {_hashed(["'excessive_tool_usage'", "'tool_budget'", "''", "''"])}, 'medium', trace_id FROM calls GROUP BY trace_id HAVING count(*) > 25 OR sum(duration_ms) > 60000)
-      SELECT 'sha256:' || sha256(encode('known_signature') || unhex(lpad(hex(octet_length(encode(failure_signature))), 16, '0')) || encode(failure_signature)) AS group_id, failure_signature, count(*) AS occurrence_count, any_value(severity) AS severity, CAST(count(DISTINCT trace_id) AS INT) AS n_traces FROM sg GROUP BY failure_signature""",
     "findings_with_traces": _CALLS + _ALL + ", t AS (SELECT id, any_value(metadata['cluster_id']) AS cluster_id FROM traces GROUP BY id) SELECT detector_id, cluster_id, count(*) AS n FROM f JOIN t ON t.id = f.trace_id GROUP BY ALL",
     "kind_rates": _CALLS + _ALL + " SELECT detector_id AS kind, count(*) AS occurrence_count, count(DISTINCT trace_id) AS affected_trace_count, round(count(DISTINCT trace_id) / (SELECT count(DISTINCT trace_id) FROM spans), 6) AS affected_trace_rate FROM f GROUP BY ALL",
     "detector_coverage": _CALLS
@@ -257,3 +248,82 @@ SQL = {
       SELECT trace_id, detector_id, CASE WHEN CASE detector_id WHEN 'repeated_tool_failure' THEN nr >= 3 OR (nf < 3 AND source_status) WHEN 'tool_call_loop' THEN ne >= 4 OR n < 4 ELSE len(miss) = 0 END THEN 'evaluated' ELSE 'inconclusive' END AS status,
         array_to_string(miss, ',') AS missing_facts, round(CASE WHEN len(need) = 0 THEN 1 ELSE (len(need) - len(miss)) / len(need) END, 6) AS semantic_coverage FROM m""",
 }
+
+
+def _frame(x: str) -> str:
+    return f"(unhex(lpad(hex(octet_length(encode({x}))), 16, '0')) || encode({x}))"
+
+
+_BITS = "('0x' || substr(sha256({0}), 1, 15))::BIGINT"
+_FINDINGS = (
+    _CALLS
+    + """, seen AS (SELECT o.trace_id, coalesce(o.ended_at, l.last, nullif(c.last, ''), 'unknown') AS created_at FROM outcomes o
+    LEFT JOIN (SELECT trace_id, arg_max(ended_at, pos) AS last FROM kinds WHERE ended_at IS NOT NULL GROUP BY trace_id) l ON l.trace_id = o.trace_id
+    LEFT JOIN (SELECT trace_id, arg_max(coalesce(started_at, ''), idx) AS last FROM calls GROUP BY trace_id) c ON c.trace_id = o.trace_id),
+  raw AS (SELECT 'terminal_tool_failure' AS detector_id, 'high' AS severity, trace_id, recovery, tool_name AS subject, operation, error_kind, ['span:' || span_id] AS evidence FROM rec WHERE requirement = 'required' AND status IN ('failed', 'timed_out', 'cancelled') AND recovery = 'unrecovered'
+    UNION ALL SELECT 'uncertain_mutation_state', 'high', trace_id, recovery, tool_name, operation, error_kind, ['span:' || span_id] FROM rec WHERE effect = 'mutating' AND status IN ('timed_out', 'unknown') AND recovery <> 'recovered'
+    UNION ALL SELECT 'missing_resolution', 'medium', trace_id, 'unrecovered', 'final_outcome', NULL, NULL, CASE WHEN root_id IS NULL THEN [] ELSE ['span:' || root_id] END FROM outcomes WHERE final_status IN ('incomplete', 'unknown')
+    UNION ALL SELECT 'approval_bypass', 'critical', c.trace_id, 'unrecovered', tool_name, operation, error_kind, ['span:' || span_id] FROM calls c JOIN kinds k ON k.trace_id = c.trace_id AND k.id = c.span_id WHERE status = 'succeeded' AND lower(k.attributes['agent.approval.required']) IN ('true', 'yes', '1') AND lower(coalesce(k.attributes['agent.approval.outcome'], '')) NOT IN ('approved', 'allow', 'allowed')
+    UNION ALL SELECT 'excessive_tool_usage', 'medium', trace_id, 'unrecovered', 'tool_budget', NULL, NULL, list_sort(list('span:' || span_id) FILTER (idx < 10000)) FROM calls GROUP BY trace_id HAVING count(*) > 25 OR sum(duration_ms) > 60000),
+  found AS (SELECT raw.*, created_at, 'sha256:' || sha256("""
+    + f"{_frame('raw.trace_id')} || {_frame('detector_id')} || {_frame(chr(39) + '6' + chr(39))} || list_reduce(list_concat([''::BLOB], list_transform(evidence, lambda e: {_frame('e')})), lambda x, y: x || y)) AS finding_id, "
+    + _hashed(["detector_id", "subject", "coalesce(operation, '')", "coalesce(error_kind, '')"])
+    + """ AS failure_signature FROM raw LEFT JOIN seen ON seen.trace_id = raw.trace_id)"""
+)
+_WINDOWS = _FINDINGS + f", wb AS (SELECT * FROM found WHERE created_at < '{SPLIT}'), wc AS (SELECT * FROM found WHERE created_at >= '{SPLIT}')"
+_NOVEL = "FROM wc WHERE severity IN ('high', 'critical') AND failure_signature NOT IN (SELECT failure_signature FROM wb)"
+_ONE = "SELECT trace_id, recovery, subject, operation, error_kind, array_to_string(evidence, ',') AS evidence, finding_id, failure_signature FROM found WHERE detector_id = "
+
+
+def _words(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: octet_length(encode(w)) >= 3))"
+
+
+def _summary(x: str) -> str:
+    t = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"CASE WHEN {t} = '' THEN '{T.NO_SUMMARY}' WHEN length({t}) > {T.SUMMARY} THEN substr({t}, 1, {T.SUMMARY}) || '{T.CUT}' ELSE {t} END"
+
+
+_SAID = "concat_ws(' ', tool_name, " + ", ".join(f"CASE WHEN length(k.attributes['{x}']) <= {B.FACT_CHARS} THEN '{x}=' || k.attributes['{x}'] END" for x in B.FACT_KEYS) + ")"
+_KIND = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(said, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{kind}'" for kind, ws in T.TOOL_WORDS.items()) + " ELSE 'tool_result' END"
+_FACTS = (
+    _CALLS
+    + f""", own AS (SELECT o.trace_id, {_summary("k.input")} AS request, {_summary("k.output")} AS answer FROM outcomes o JOIN kinds k ON k.trace_id = o.trace_id AND k.id = o.root_id),
+  t AS (SELECT c.trace_id, c.pos AS place, span_id, tool_name, translate({_SAID}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS said, CASE WHEN k.error IS NOT NULL OR k.source_status = 'error' THEN 'failed' WHEN k.source_status = 'ok' THEN 'succeeded' ELSE 'unknown' END AS status,
+    {_summary("k.input")} AS i, {_summary("k.output")} AS o FROM calls c JOIN kinds k ON k.trace_id = c.trace_id AND k.id = c.span_id),
+  cand AS (SELECT trace_id, place, span_id, 'tool' AS actor, {_KIND} AS kind, status, tool_name, coalesce(o, i, tool_name || ' returned ' || upper(status[1]) || status[2:]) AS summary, o IS NULL AS mute FROM t
+    UNION ALL SELECT trace_id, -1, NULL, 'user', 'user_request', 'succeeded', NULL, request, true FROM own WHERE request IS NOT NULL
+    UNION ALL SELECT trace_id, 1152921504606846976, NULL, 'assistant', 'assistant_message', 'succeeded', NULL, answer, true FROM own WHERE answer IS NOT NULL),
+  facts AS (SELECT cand.*, row_number() OVER (PARTITION BY cand.trace_id ORDER BY place) - 1 AS sequence, actor <> 'tool' OR status = 'failed' OR kind IN ('verification', 'artifact_mutation', 'external_action') OR mute AS mandatory,
+    len(list_intersect({_words("summary")}, {_words(f"coalesce(request, '{T.NO_GOAL}')")})) AS relevance FROM cand LEFT JOIN own ON own.trace_id = cand.trace_id),
+  ev AS (SELECT *, 'E' || CASE WHEN sequence < 9999 THEN lpad(CAST(sequence + 1 AS VARCHAR), 4, '0') ELSE CAST(sequence + 1 AS VARCHAR) END AS evidence_id, lower(tool_name) AS family FROM facts)
+"""
+)
+
+SQL |= {
+    "signature_groups": _FINDINGS + f" SELECT 'sha256:' || sha256(encode('known_signature') || {_frame('failure_signature')}) AS group_id, failure_signature, count(*) AS occurrence_count, any_value(severity) AS severity, count(DISTINCT trace_id) AS n_traces, bit_xor({_BITS.format('finding_id')}) AS finding_hash FROM found GROUP BY failure_signature",
+    "excessive_tool_usage": _FINDINGS + " " + _ONE + "'excessive_tool_usage'",
+    "approval_bypass": _FINDINGS + " " + _ONE + "'approval_bypass'",
+    "novel_signatures": _WINDOWS + " SELECT finding_id, failure_signature " + _NOVEL,
+    "recurrence_compare": _WINDOWS
+    + f""", t AS (SELECT DISTINCT failure_signature FROM wb WHERE severity = 'high'), n AS (SELECT count(*) FILTER (created_at < '{SPLIT}') AS nb, count(*) FILTER (created_at >= '{SPLIT}') AS nc FROM (SELECT o.trace_id, coalesce(o.ended_at, l.last) AS created_at FROM outcomes o LEFT JOIN (SELECT trace_id, arg_max(ended_at, pos) AS last FROM kinds WHERE ended_at IS NOT NULL GROUP BY trace_id) l ON l.trace_id = o.trace_id)),
+      x AS (SELECT (SELECT count(*) FROM wb SEMI JOIN t USING (failure_signature)) AS bo, (SELECT count(*) FROM wc SEMI JOIN t USING (failure_signature)) AS co, (SELECT count(DISTINCT trace_id) FROM wb SEMI JOIN t USING (failure_signature)) AS ba, (SELECT count(DISTINCT trace_id) FROM wc SEMI JOIN t USING (failure_signature)) AS ca)
+      SELECT bo AS baseline_occurrence_count, co AS candidate_occurrence_count, ba AS baseline_affected_trace_count, ca AS candidate_affected_trace_count, round(ba / nullif(nb, 0), 6) AS baseline_rate, round(ca / nullif(nc, 0), 6) AS candidate_rate, (SELECT count(*) {_NOVEL}) AS n_severe_novel, nb > 0 AND nc > 0 AS evidence_complete FROM x, n""",
+    "finding_gate": _WINDOWS
+    + f""", t AS (SELECT DISTINCT failure_signature FROM wb WHERE severity = 'critical' OR detector_id = 'repeated_tool_failure'),
+      x AS (SELECT (SELECT count(*) FROM t) AS target_count, (SELECT count(*) FROM t) > 0 AS baseline_reproduced, NOT EXISTS (SELECT 1 FROM t SEMI JOIN wc USING (failure_signature)) AS candidate_resolved, NOT EXISTS (SELECT 1 {_NOVEL}) AS no_severe_novel_findings)
+      SELECT *, baseline_reproduced AND candidate_resolved AND no_severe_novel_findings AS passed FROM x""",
+    "evidence_packet": _FINDINGS
+    + f""", e AS (SELECT DISTINCT unnest(evidence) AS id FROM found)
+      SELECT (SELECT count(DISTINCT trace_id) FROM found) AS trace_count, (SELECT count(DISTINCT finding_id) FROM found) AS finding_count, (SELECT count(*) FROM e) AS evidence_count, (SELECT bit_xor({_BITS.format('id')}) FROM (SELECT DISTINCT trace_id AS id FROM found)) AS trace_hash,
+      (SELECT bit_xor({_BITS.format('id')}) FROM (SELECT DISTINCT finding_id AS id FROM found)) AS finding_hash, (SELECT bit_xor({_BITS.format('id')}) FROM e) AS evidence_hash, (SELECT max(created_at) FROM found) AS created_at""",
+    "completion_facts": _FACTS + " SELECT trace_id, sequence, evidence_id, span_id, actor, kind, status, tool_name, CASE WHEN kind = 'assistant_message' THEN 'final_response' WHEN mandatory THEN 'mandatory' ELSE 'goal_relevant' END AS lane, mandatory, CAST(relevance AS INT) AS relevance FROM ev",
+    "first_success_after_failure": _FACTS
+    + """, n AS (SELECT *, min(CASE WHEN status = 'succeeded' THEN struct_pack(p := sequence, e := evidence_id) END) OVER (PARTITION BY trace_id, family ORDER BY sequence ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM ev WHERE actor = 'tool')
+      SELECT trace_id, sequence AS failure_sequence, evidence_id AS failure_evidence, nxt.p AS success_sequence, nxt.e AS success_evidence FROM n WHERE status = 'failed'""",
+    "telemetry_diagnostics": _CALLS
+    + """, d AS (SELECT CASE WHEN NOT bool_or(coalesce(attributes['agent.final.status'] IS NOT NULL, false)) THEN 'missing_final_outcome' WHEN any_value(o.final_status) IN ('incomplete', 'unknown') THEN 'non_terminal_final_outcome' END AS code FROM once x JOIN outcomes o ON o.trace_id = x.trace_id GROUP BY x.trace_id
+      UNION ALL SELECT CASE status_quality WHEN 'ambiguous' THEN 'ambiguous_source_status' ELSE 'missing_source_status' END FROM calls WHERE status_quality IN ('ambiguous', 'missing') UNION ALL SELECT 'missing_invocation_fingerprint' FROM calls WHERE invocation_quality = 'missing'
+      UNION ALL SELECT 'detector_inconclusive_missing_facts' FROM (""" + SQL["detector_coverage"].replace("WITH ", "WITH ", 1) + """) WHERE status = 'inconclusive')
+      SELECT code, count(*) AS n FROM d WHERE code IS NOT NULL GROUP BY code""",
+}
