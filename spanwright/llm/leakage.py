@@ -1,7 +1,7 @@
 """Passages of held-out test items in a corpus, whole, in part or slightly changed.
 
-Method: rare n-gram seeds (two and three words that stand in at most ``SEED_ITEMS`` items, and of each ``SEED_WORDS`` places of an item the rarest
-whatever its number, so that every passage has seeds however many items there are) join corpus passages to test items;
+Method: rare n-gram seeds (two and three words that stand in at most ``SEED_ITEMS`` items, and of each ``SEED_WORDS`` places of an item around which these are few
+the rarest whatever its number, so that every passage has seeds however many items there are) join corpus passages to test items;
 Smith-Waterman alignments of words, with an inexact credit for misspelt ones, then score each pair of passage and item. An
 item leaked if an alignment has a stretch of at least ``least`` of its words of which at most ``changed`` (a share) differ.
 Words inside runs of ``SHARED`` words or more that stand in several items don't count and score nothing in the alignment. After an alignment
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanwright.session import Scratch
@@ -99,6 +100,7 @@ class Spelling:
 class Item:
     def __init__(self, item_id: object, text_words: list[str], counts: list[bool]) -> None:
         self.id, self.words, self.counts = item_id, text_words, np.array(counts, bool)
+        self.codes = np.zeros(0, np.int64)  # the block's numbers of the words
 
 
 def _scores(item: Item, b: list[str], spelling: Spelling) -> np.ndarray:
@@ -117,9 +119,12 @@ def _scores(item: Item, b: list[str], spelling: Spelling) -> np.ndarray:
     return np.where(item.counts[:, None], score, np.minimum(score, 0.0))
 
 
-def alignments(item: Item, doc: list[str], lo: int, hi: int, spelling: Spelling, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Smith-Waterman of the item with words lo..hi of a document, the best first, each masked for the next, while they score ``least``. Per item word: its place in the document or -1, and 2 if
+def alignments(item: Item, doc: list[str], codes: np.ndarray, lo: int, hi: int, spelling: Spelling, least: float, equal: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Smith-Waterman of the item with words lo..hi of a document, the best first, each masked for the next, while they score ``least`` and at least ``equal`` of the item's words that count stand in what isn't masked. Per item word: its place in the document or -1, and 2 if
     equal, 1 if alike, 0 else."""
+    free, own = codes[lo:hi].copy(), item.codes[item.counts]
+    if np.isin(own, free).sum() < equal:
+        return
     score = _scores(item, doc[lo:hi], spelling)
     n, m = score.shape
     gap = 1.0
@@ -145,6 +150,9 @@ def alignments(item: Item, doc: list[str], lo: int, hi: int, spelling: Spelling,
                 j -= 1
         yield place, how
         score[:, j:last] = -1e9
+        free[j:last] = -1
+        if np.isin(own, free).sum() < equal:
+            return
 
 
 def stretch(item: Item, place: np.ndarray, how: np.ndarray, least: int, changed: float) -> tuple[int, int, int] | None:
@@ -178,6 +186,8 @@ class Block:
         self.items = [Item(i, w, c) for i, w, c, _ in rows]
         self.code = {w: k for k, w in enumerate(dict.fromkeys(w for x in self.items for w in x.words))}
         self.size = len(self.code) + 1
+        for x in self.items:
+            x.codes = np.array([self.code[w] for w in x.words], np.int64)
         self.spelling = Spelling(list(self.code))
         pairs = []
         for k, (_, w, _, seeds) in enumerate(rows):
@@ -191,10 +201,14 @@ class Block:
     def _key(self, v: list[int]) -> int:
         return (v[0] + 1) * self.size + v[1] + 1 if len(v) == 2 else ((v[0] + 1) * self.size + v[1] + 1) * self.size + v[2] + 1
 
-    def seeds(self, doc: list[str]) -> dict[int, list[int]]:
-        """Places of seeds in a document by item."""
+    def codes(self, doc: list[str]) -> np.ndarray:
+        """The numbers of a document's words among those of the items, -1 for others."""
         get = self.code.get
-        w = np.fromiter((get(x, -1) for x in doc), np.int64, len(doc)) + 1
+        return np.fromiter((get(x, -1) for x in doc), np.int64, len(doc))
+
+    def seeds(self, codes: np.ndarray) -> dict[int, list[int]]:
+        """Places of seeds in a document by item."""
+        w = codes + 1
         if len(w) < 2 or not len(self.keys):
             return {}
         two = np.where((w[:-1] > 0) & (w[1:] > 0), w[:-1] * self.size + w[1:], -1)
@@ -210,7 +224,10 @@ class Block:
 
     def find(self, doc: list[str], least: int, changed: float) -> list[object]:
         found: list[tuple[int, int, int, object]] = []
-        for k, places in self.seeds(doc).items():
+        codes = self.codes(doc)
+        # A stretch holds at least so many equal words that count.
+        equal = int(np.ceil(least * (1 - changed) - 1e-9))
+        for k, places in self.seeds(codes).items():
             item = self.items[k]
             places = sorted({*places})
             if len(places) < 2:
@@ -226,7 +243,7 @@ class Block:
                     # What a stretch scores at least, were no word inserted; half of it leaves room for those.
                     could = least * (2 - 3 * changed) / 2
                     for at in range(lo, max(lo + 1, hi - 2 * n), 2 * n):
-                        for place, how in alignments(item, doc, at, min(hi, at + 4 * n), self.spelling, could):
+                        for place, how in alignments(item, doc, codes, at, min(hi, at + 4 * n), self.spelling, could, equal):
                             s = stretch(item, place, how, least, changed)
                             if s:
                                 found.append((*s, item.id))
@@ -257,7 +274,9 @@ def prepared(items: DataFrame, item: str, text: str) -> DataFrame:
     n_items = g.groupBy("g").agg(F.count_distinct("_i").alias("n"))
     counted = g.join(n_items, "g")
     rare = counted.filter(F.col("n") <= SEED_ITEMS).select("_i", "words", "g")
-    rarest = counted.groupBy("_i", "words", "b").agg(F.min(F.struct("n", "g")).alias("m")).select("_i", "words", F.col("m.g").alias("g"))
+    rarest = counted.groupBy("_i", "words", "b").agg(F.min(F.struct("n", "g")).alias("m"))
+    near = W.partitionBy("_i", "words").orderBy("b").rowsBetween(-1, 1)  # an item's places
+    rarest = rarest.withColumn("_near", F.sum(F.when(F.col("m.n") <= SEED_ITEMS, 1).otherwise(0)).over(near)).filter("_near <= 1").select("_i", "words", F.col("m.g").alias("g"))
     seeds = rare.unionByName(rarest).groupBy("_i", "words").agg(F.collect_set("g").alias("seeds"))
     runs = base.select("_i", "words", F.posexplode(_grams(SHARED)(w)).alias("p", "g"))
     several = runs.groupBy("g").agg(F.count_distinct("_i").alias("n")).filter(F.col("n") > 1).select("g")
