@@ -104,7 +104,7 @@ def main(args: list[str] | None = None) -> int:
         files.write_jsonl(assigned, a.assignments)
     elif a.verb == "report":
         results = jsonl(a.results, files.RESULT)
-        files.write_jsonl(evaluate.report_scores(results, cluster_weights=jsonl(a.clusters, files.CLUSTER) if a.clusters else None), a.out)
+        files.write_jsonl(evaluate.report(results, jsonl(a.clusters, files.CLUSTER) if a.clusters else None), a.out)
     elif a.verb in ("verify-findings", "compare-recurrence"):
         from spanwright.streaming.runner import FINDINGS
 

@@ -109,6 +109,17 @@ def finding_gate(spark: SparkSession, d: str) -> DataFrame:
     return g.select("target_count", "baseline_reproduced", "candidate_resolved", "no_severe_novel_findings", "passed")
 
 
+def remediation(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the traces from ``SPLIT`` on hold to what those before showed: findings and the use of tools, a row a gate."""
+    f = _facts(spark, d)
+    found = Scratch(spark, "findings").keep(D.detect(f))
+    b, c = found.filter(F.col("created_at") < SPLIT), found.filter(F.col("created_at") >= SPLIT)
+    when = f.calls.join(f.outcomes.select("trace_id", "observed_at"), "trace_id")
+    use = [V.usage(when.filter(x)) for x in (F.col("observed_at") < SPLIT, F.col("observed_at") >= SPLIT)]
+    budget = V.budget_gate_rows(*use, {"tool_calls": 0}, ["tool_calls", "duration_ms", "traces"])
+    return V.remediation(V.finding_gate(b, c, b.filter("severity = 'high'").select("failure_signature")), budget=budget)
+
+
 def evidence_packet(spark: SparkSession, d: str) -> DataFrame:
     return G.evidence_packet(Scratch(spark, "findings").keep(_findings(spark, d))).select("trace_count", "finding_count", "evidence_count", "trace_hash", "finding_hash", "evidence_hash", "created_at")
 
@@ -163,7 +174,7 @@ def run_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (tool_calls, trace_outcomes, trace_coverage, recovery_status)} | {n: _detector(n) for n in D.DETECTORS} | {
-    f.__name__: f for f in (failure_episodes, call_loops, tool_usage, detector_coverage, telemetry_diagnostics, findings_by_detector, signature_groups, kind_rates, recurrence_compare, novel_signatures, finding_gate, evidence_packet, finding_projections, eval_candidates, findings_with_traces, completion_facts, first_success_after_failure, compact_projections, completion_prompts, completion_features, run_alignment)
+    f.__name__: f for f in (failure_episodes, call_loops, tool_usage, detector_coverage, telemetry_diagnostics, findings_by_detector, signature_groups, kind_rates, recurrence_compare, novel_signatures, finding_gate, remediation, evidence_packet, finding_projections, eval_candidates, findings_with_traces, completion_facts, first_success_after_failure, compact_projections, completion_prompts, completion_features, run_alignment)
 }
 
 _CALLS = f"""WITH {ONCE}, maps AS (SELECT tool_name AS tn, min(operation) AS op, min(effect) AS ef, min(retry_safety) AS rs, min(requirement) AS rq FROM tool_mappings WHERE tool_name IS NOT NULL GROUP BY tool_name),

@@ -83,6 +83,11 @@ def failed_cases(spark: SparkSession, d: str) -> DataFrame:
     return E.failed_cases(_results(spark, d))
 
 
+def whole_report(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, scores, worst clusters, failed cases and calibration impact as one table."""
+    return _round(E.report(_results(spark, d)))
+
+
 def report_counts(spark: SparkSession, d: str) -> DataFrame:
     return E.report_counts(_results(spark, d))
 
@@ -170,7 +175,7 @@ def export_promptfoo_tests(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    extract_simple_cases, extract_openinference_cases, cluster_texts, grade_non_empty, grade_exact, grade_contains, score_overall, report_scores, worst_clusters, failed_cases, report_counts, calibration_impact, calibration_bins,
+    extract_simple_cases, extract_openinference_cases, cluster_texts, grade_non_empty, grade_exact, grade_contains, score_overall, report_scores, worst_clusters, failed_cases, whole_report, report_counts, calibration_impact, calibration_bins,
     calibration_model, calibrated_results, validate_cases, validate_results, metadata_assign, keyword_assign, rule_assign, assigned_results, paired_results, case_gates, suite_gate, export_csv_rows, export_openai_rows, export_promptfoo_tests,
 )}
 

@@ -180,3 +180,19 @@ def test_alignment_counts_all_rows(spark, sf, tmp_path):
     spark.sql("select id, map('cluster_id', 'c') as metadata from values ('a'), ('b') as t(id)").write.parquet(f"{tmp_path}/traces.parquet")
     r = behaviour.run_alignment(spark, str(tmp_path)).first()
     assert (r["n_rows"], r["changed"]) == (1500, 1500)
+
+
+def test_whole_report_and_remediation(spark):
+    cols = "case_id string, trace_id string, evaluator_name string, normalized_score double, calibrated_score double, passed boolean, cluster_id string"
+    r = spark.createDataFrame([("a", "t", "e", 1.0, 0.5, True, "c1"), ("b", "t", "e", 0.0, None, False, "c1"), ("b", "t", "f", 1.0, None, True, None)], cols)
+    c = spark.createDataFrame([("c1", "first", 2.0)], "id string, label string, weight double")
+    got = {(x["section"], x["key"]): x for x in E.report(r, c).collect()}
+    assert got["run", "all"]["result_count"] == 3 and got["worst_cluster", "c1"]["rank"] == 1 and got["cluster", "c1"]["text"] == "first"
+    assert got["failed_case", "b"]["text"] == "c1|e" and got["counts", "unclustered_count"]["result_count"] == 1 and ("calibration", "delta") in got
+    assert E.report(r.limit(0)).filter("section not in ('counts', 'run')").count() == 0
+    gate = spark.createDataFrame([(True, True, False)], "baseline_reproduced boolean, candidate_resolved boolean, no_severe_novel_findings boolean")
+    one = lambda n: spark.createDataFrame([(n, 5)], "tool_calls bigint, duration_ms bigint")
+    budget = V.budget_gate_rows(one(3), one(4), {"tool_calls": 0}, ["tool_calls", "duration_ms"])
+    assert {x["measure"]: (x["increase"], x["passed"]) for x in budget.collect()} == {"tool_calls": (1, False), "duration_ms": (0, True)}
+    rows = {x["gate"]: x["passed"] for x in V.remediation(gate, budget=budget).collect()}
+    assert rows == {"findings_resolved": True, "no_severe_novel_findings": False, "budget_held": False, "remediation": False}
