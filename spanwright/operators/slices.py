@@ -160,7 +160,8 @@ def hashed_sample(df: DataFrame, hashed: str, n: int, most_bytes: int | None = N
             used += r["_b"]
     if not wanted:
         return []
-    longest = max(r["_b"] for r in heads if r["_h"] in set(wanted)) if most_bytes else None
+    keep = set(wanted)
+    longest = max(r["_b"] for r in heads if r["_h"] in keep) if most_bytes else None
     part = part.filter(F.col("_h") <= F.lit(max(wanted)))
     if most_bytes:
         part = part.filter(F.octet_length(F.col(hashed).cast("string")) <= longest)
@@ -169,6 +170,5 @@ def hashed_sample(df: DataFrame, hashed: str, n: int, most_bytes: int | None = N
         one = part.groupBy("_h", hashed).agg(F.min(F.struct(*others)).alias("_o"))
     else:
         one = part.select("_h", hashed).distinct().withColumn("_o", F.struct())
-    keep = set(wanted)
     rows = [r for r in one.orderBy("_h", hashed).collect() if r["_h"] in keep][:n]
     return [Row(**{c: r[hashed] if c == hashed else r["_o"][c] for c in df.columns}) for r in rows]
