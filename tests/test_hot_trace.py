@@ -9,7 +9,7 @@ from spanwright.operators.slices import spread_join
 from spanwright.plans import behaviour as P
 from spanwright.session import Scratch
 
-QUERIES = ["approval_bypass", "evidence_packet", "finding_gate", "findings_with_traces", "novel_signatures", "remediation"]
+QUERIES = ["approval_bypass", "evidence_packet", "finding_gate", "findings_with_traces", "novel_signatures", "remediation", "telemetry_diagnostics"]
 
 
 def rows():
