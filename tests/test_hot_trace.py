@@ -9,7 +9,7 @@ from spanwright.operators.slices import spread_join
 from spanwright.plans import behaviour as P
 from spanwright.session import Scratch
 
-QUERIES = ["approval_bypass", "evidence_packet", "finding_gate", "findings_with_traces", "novel_signatures", "remediation", "telemetry_diagnostics", "uncertain_mutation_state", "excessive_tool_usage", "finding_projections", "kind_rates", "policy_violation", "repeated_tool_failure", "terminal_tool_failure", "unresolved_escalation", "eval_candidates", "false_success_claim", "findings_by_detector", "missing_resolution", "recurrence_compare", "signature_groups"]
+QUERIES = ["approval_bypass", "evidence_packet", "finding_gate", "findings_with_traces", "novel_signatures", "remediation", "telemetry_diagnostics", "uncertain_mutation_state", "excessive_tool_usage", "finding_projections", "kind_rates", "policy_violation", "repeated_tool_failure", "terminal_tool_failure", "unresolved_escalation", "eval_candidates", "false_success_claim", "findings_by_detector", "missing_resolution", "recurrence_compare", "signature_groups", "tool_call_loop"]
 
 
 def rows():
