@@ -12,9 +12,9 @@ same surname, segments of the same digits or letters. All tokens of such a group
 reaches all others, however long the text. Loopy belief propagation alternates exact passes along the chain with messages from and to these
 variables until they stop changing, for many texts at once in padded arrays; the labels are then the best sequence under the last messages.
 
-Fit. A bounded sample of ``SAMPLE`` distinct texts of ``SAMPLE_BYTES`` bytes in all (least hashes of all texts) is labelled by cue phrases. Log-odds come from these
-labels, then once more from the field's own labels there; feature weights are then fitted on these by penalised logistic regression, given the
-neighbours' labels. Words that the sample holds once stand in for those it doesn't hold. Chain and skip potentials are set. All rows are then labelled.
+Fit. All distinct texts are labelled by cue phrases. Log-odds come from these labels, then once more from the field's own labels there; feature weights are
+then fitted on these by penalised logistic regression, given the neighbours' labels. Words that the texts hold once stand in for those they don't hold.
+Chain and skip potentials are set. All rows are then labelled.
 
 A text goes around the field only if it has no segment and no word that could be part of a name under the highest potentials that its neighbours,
 repetitions and the chain allow, in which case the field labels none.
@@ -29,19 +29,19 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.operators.slices import hashed_sample
+from spanwright.session import Scratch
 
-SAMPLE = 20_000
-SAMPLE_BYTES = 64 << 20
 KEPT_TEXTS = 20_000
 KEPT_WORDS = 200_000
+KEPT_COUNTS = 500_000
 ROUNDS = 100  # of messages, where these don't come to rest before
 REST = 1e-3
 TYPES = ["email", "phone", "identity_number", "street_address", "person_name"]
@@ -207,22 +207,27 @@ def _odds(yes: float, all_: float, base: float) -> float:
 class Lexicon:
     """What the field knows of words, contexts, shapes and weights; fitted on texts (see the module's text)."""
 
-    def __init__(self, texts: list[str]) -> None:
-        texts = list(dict.fromkeys(texts))
+    def __init__(self, texts: list[str] | None = None, over: Callable | None = None) -> None:
+        """``over``, instead of ``texts``: runs a reading function over all distinct texts and gives its tally's rows and the regression's sums."""
+        own = list(dict.fromkeys(texts or []))
+
+        def local(read: Callable) -> tuple[list, Callable]:
+            t = Tally()
+            read(own, t)
+            rows = list(t.rows())
+            x, yes, all_ = _arrays([r for r in rows if r[0] == "x"])
+            return [r for r in rows if r[0] != "x"], lambda w: _sums(x, yes, all_, w)
+
+        over = over or local
         name: Counter[str] = Counter()
         total: Counter[str] = Counter()
         seen: dict[str, Counter[str]] = defaultdict(Counter)
-        for t in texts:
-            found, masked = segments(t)
-            total.update(p for w in _WORD.findall(masked) for p in _parts(w) if len(p) > 1)
-            for m in _NAME_AFTER_CUE.finditer(masked):
-                name.update(p for w in _WORD.findall(m[1]) for p in _parts(w) if len(p) > 1)
-            for f in found:
-                if "phone" in f.scores or "identity_number" in f.scores:
-                    front = t[max(0, f.lo - 40) : f.lo]
-                    told = "against" if _NOT_ID.search(front[-24:]) else "identity_number" if _ID_BEFORE.search(front) else "phone" if _PHONE_CUE.search(front) else None
-                    if told:
-                        seen[shape(t[f.lo : f.hi])][told] += 1
+        for kind, key, yes, all_ in over(_told)[0]:
+            if kind == "w":
+                name[key.decode()], total[key.decode()] = yes, all_
+            else:
+                form, told = key.decode().split("\x1f")
+                seen[form][told] = all_
         # A shape's log-odds of each type against the other cues.
         self.shapes = {k: {x: float(np.clip(np.log((c[x] + 1.0) / (sum(c.values()) - c[x] + 1.0)), -ODDS, ODDS)) for x in ("phone", "identity_number")} for k, c in seen.items()}
         self._weigh(np.array(list(FEATURES.values())))
@@ -230,10 +235,7 @@ class Lexicon:
         self.after: dict[str, float] = {}
         self._learn(name, total)
         for last in (False, True):
-            # What goes around the field has no names under it, and says nothing of contexts.
-            screen = Finder(self)
-            docs = [Doc(t, self) for t in texts if screen.possible(t)]
-            self._relearn(docs, _labels(docs), name, total, last)
+            self._relearn(*over(partial(_relabelled, lex=self, last=last)), name, total, last)
 
     def _learn(self, name: Counter[str], total: Counter[str]) -> None:
         self.total = total
@@ -241,41 +243,18 @@ class Lexicon:
         self.names = frozenset(w for w, x in self.odds.items() if x > 0)
         self.known: dict[str, tuple] = {}
 
-    def _relearn(self, docs: list[Doc], labels: list[np.ndarray], name: Counter[str], total: Counter[str], last: bool) -> None:
-        again: Counter[str] = Counter()
-        starts, fronts, ends, backs = Counter(), Counter(), Counter(), Counter()
-        n_name = n_all = 0
-        rows, ys, offs = [], [], []
-        for d, y in zip(docs, labels):
-            n = len(d.words)
-            for i in range(n):
-                if d.segment[i] is not None:
-                    continue
-                is_name = y[i] > 0
-                if is_name:
-                    again.update(p for p in _parts(d.words[i]) if len(p) > 1)
-                if d.upper[i] and not d.title[i]:
-                    n_all += 1
-                    n_name += is_name
-                    if i and d.trans[i] != 2 and not y[i - 1]:
-                        fronts[d.words[i - 1]] += 1
-                        starts[d.words[i - 1]] += is_name
-                    if i + 1 < n and d.trans[i + 1] != 2 and not y[i + 1]:
-                        backs[d.words[i + 1]] += 1
-                        ends[d.words[i + 1]] += is_name
-                if last and not d.title[i]:
-                    left, right = (y[i - 1] if i else 0), (y[i + 1] if i + 1 < n else 0)
-                    rows.append(d.features(i))
-                    ys.append(is_name)
-                    chain = _CHAIN[d.trans[i]]
-                    as_name = max(chain[left, 1], chain[left, 2])
-                    offs.append(as_name - chain[left, 0] + (_CHAIN[d.trans[i + 1]][2, right] - _CHAIN[d.trans[i + 1]][0, right] if i + 1 < n and right < 2 else 0.0))
+    def _relearn(self, rows: list, sums: Callable, name: Counter[str], total: Counter[str], last: bool) -> None:
+        of: dict[str, dict[str, tuple[int, int]]] = defaultdict(dict)
+        for kind, key, yes, all_ in rows:
+            of[kind][key.decode()] = (yes, all_)
+        n_name, n_all = of["n"].get("", (0, 0))
         base = float(np.log((n_name + 1.0) / (n_all - n_name + 1.0)))
-        self.before = {w: _odds(starts[w], n, base) for w, n in fronts.items()}
-        self.after = {w: _odds(ends[w], n, base) for w, n in backs.items()}
-        self._learn(Counter({w: max(name[w], again[w]) for w in {*name, *again}}), total)
-        if last and rows:
-            self._weigh(_fitted(np.array(rows), np.array(ys, float), np.array(offs), np.array(list(FEATURES.values()))))
+        self.before = {w: _odds(yes, n, base) for w, (yes, n) in of["f"].items()}
+        self.after = {w: _odds(yes, n, base) for w, (yes, n) in of["b"].items()}
+        again = {w: n for w, (_, n) in of["a"].items()}
+        self._learn(Counter({w: max(name[w], again.get(w, 0)) for w in {*name, *again}}), total)
+        if last:
+            self._weigh(_fitted(sums, np.array(list(FEATURES.values()))))
 
     def _weigh(self, weights: np.ndarray) -> None:
         # Two new words with capitals and nothing else are no name, however many of the sample's single words are.
@@ -313,20 +292,99 @@ class Lexicon:
         return got
 
 
-def _fitted(x: np.ndarray, y: np.ndarray, offset: np.ndarray, start: np.ndarray, strength: float = 25.0) -> np.ndarray:
-    """Weights of the penalised logistic regression of ``y``: Newton steps; the penalty (``strength`` observations) pulls to ``start``."""
-    w = start.copy()
+class Tally:
+    """Counts by kind and key that add up over texts: words as part of a cued name and in all (w), cues by shape (s); by the field's labels words of names (a), words in front
+    of and behind capitals (f, b), capitals (n), and features with their offset (x): of how many (all) how many are names (yes)."""
+
+    def __init__(self) -> None:
+        self.yes: Counter = Counter()
+        self.all: Counter = Counter()
+
+    def rows(self) -> Iterator[tuple[str, bytes, int, int]]:
+        for k, n in self.all.items():
+            if k[0] == "x":
+                key = np.append(np.frombuffer(k[1]), k[3])
+                key[_EXTRA] = k[2]
+                yield "x", key.tobytes(), self.yes[k], n
+            else:
+                yield k[0], k[1].encode(), self.yes[k], n
+
+
+_EXTRA = [_F["before"], _F["after"], _F["titled"], _F["cue"]]
+
+
+def _told(texts: list[str], t: Tally) -> None:
+    """What cue phrases say of words and shapes."""
+    for text in texts:
+        found, masked = segments(text)
+        t.all.update(("w", p) for w in _WORD.findall(masked) for p in _parts(w) if len(p) > 1)
+        for m in _NAME_AFTER_CUE.finditer(masked):
+            t.yes.update(("w", p) for w in _WORD.findall(m[1]) for p in _parts(w) if len(p) > 1)
+        for f in found:
+            if "phone" in f.scores or "identity_number" in f.scores:
+                front = text[max(0, f.lo - 40) : f.lo]
+                told = "against" if _NOT_ID.search(front[-24:]) else "identity_number" if _ID_BEFORE.search(front) else "phone" if _PHONE_CUE.search(front) else None
+                if told:
+                    t.all["s", f"{shape(text[f.lo : f.hi])}\x1f{told}"] += 1
+
+
+def _relabelled(texts: list[str], t: Tally, lex: Lexicon, last: bool) -> None:
+    """What the field's own labels say of words and contexts, and of features at last."""
+    # What goes around the field has no names under it, and says nothing of contexts.
+    screen = Finder(lex)
+    docs = [Doc(x, lex) for x in texts if screen.possible(x)]
+    for d, y in zip(docs, _labels(docs)):
+        n = len(d.words)
+        for i in range(n):
+            if d.segment[i] is not None:
+                continue
+            is_name = bool(y[i] > 0)
+            if is_name:
+                t.all.update(("a", p) for p in _parts(d.words[i]) if len(p) > 1)
+            if d.upper[i] and not d.title[i]:
+                keys = [("n", "")]
+                if i and d.trans[i] != 2 and not y[i - 1]:
+                    keys.append(("f", d.words[i - 1]))
+                if i + 1 < n and d.trans[i + 1] != 2 and not y[i + 1]:
+                    keys.append(("b", d.words[i + 1]))
+                for k in keys:
+                    t.all[k] += 1
+                    t.yes[k] += is_name
+            if last and not d.title[i]:
+                left, right = (y[i - 1] if i else 0), (y[i + 1] if i + 1 < n else 0)
+                chain = _CHAIN[d.trans[i]]
+                as_name = max(chain[left, 1], chain[left, 2])
+                off = as_name - chain[left, 0] + (_CHAIN[d.trans[i + 1]][2, right] - _CHAIN[d.trans[i + 1]][0, right] if i + 1 < n and right < 2 else 0.0)
+                k = ("x", d.facts[i][4].tobytes(), d.extra[i], float(off))
+                t.all[k] += 1
+                t.yes[k] += is_name
+
+
+def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features with their offset, how many are names, how many there are, of a tally's rows of features."""
+    x = np.frombuffer(b"".join(r[1] for r in rows)).reshape(len(rows), len(FEATURES) + 1)
+    return x, np.array([r[2] for r in rows], float), np.array([r[3] for r in rows], float)
+
+
+def _sums(x: np.ndarray, yes: np.ndarray, all_: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the logistic regression at ``w``, in one array."""
+    f = x[:, :-1]
+    p = 1 / (1 + np.exp(-np.clip(f @ w + x[:, -1], -30, 30)))
+    return np.append(f.T @ (all_ * p - yes), (f * (all_ * p * (1 - p))[:, None]).T @ f)
+
+
+def _fitted(sums: Callable, start: np.ndarray, strength: float = 25.0) -> np.ndarray:
+    """Weights of the penalised logistic regression: Newton steps; the penalty (``strength`` observations) pulls to ``start``. Rounded, as sums depend on their order."""
+    w, n = start.copy(), len(start)
     for _ in range(25):
-        z = np.clip(x @ w + offset, -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        grad = x.T @ (p - y) + strength * (w - start)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
+        s = sums(w)
+        grad = s[:n] + strength * (w - start)
+        step = np.linalg.solve(s[n:].reshape(n, n) + strength * np.eye(n), grad)
         size = np.abs(step).max()
         w = w - step * min(1.0, 1.0 / max(size, 1e-12))
         if size < 1e-6:
             break
-    return w
+    return np.round(w, 6)
 
 
 class Doc:
@@ -382,11 +440,6 @@ class Doc:
         self.facts, self.extra = facts, extra
         self.groups = self._groups(n)
 
-    def features(self, i: int) -> np.ndarray:
-        f = self.facts[i][4].copy()
-        f[[_F["before"], _F["after"], _F["titled"], _F["cue"]]] = self.extra[i]
-        return f
-
     def _groups(self, n: int) -> list[list[int]]:
         same: dict[object, list[int]] = defaultdict(list)
         similar: dict[str, str] = {}
@@ -643,12 +696,48 @@ def redacted(text: str | None, items: list[tuple[int, int, str]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def fit(texts: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Lexicon:
-    """Fits on ``sample`` distinct texts (column ``_t``) of at most ``most_bytes`` in all, those with the least hashes."""
-    return Lexicon([r["_t"] for r in hashed_sample(texts, "_t", sample, most_bytes)])
+def fit(texts: DataFrame) -> Lexicon:
+    """Fits on all distinct texts (column ``_t``). Counts add up in partitions, then by key; the driver gets words that stand in the texts more than once, contexts, shapes
+    and sums of the regression."""
+    spark = texts.sparkSession
+    scratch = Scratch(spark, "fit")
+    own = scratch.keep(texts.filter("_t <> ''").distinct())
+
+    def over(read: Callable) -> tuple[list, Callable]:
+        sent = spark.sparkContext.broadcast(read)
+
+        def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = Tally()
+            for b in parts:
+                sent.value(b.column(0).to_pylist(), t)
+                if len(t.all) > KEPT_COUNTS:
+                    yield _batch(t)
+                    t = Tally()
+            yield _batch(t)
+
+        rows = own.mapInArrow(count, "kind string, key binary, yes bigint, n bigint").groupBy("kind", "key").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n"))
+        # A word that stands there once is as one that doesn't.
+        rows = scratch.keep(rows.filter("kind <> 'w' or n > 1"))
+        features = rows.filter("kind = 'x'")
+
+        def sums(w: np.ndarray) -> np.ndarray:
+            def part(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                out = sum((_sums(*_arrays([(None, *r.values()) for r in b.to_pylist()]), w) for b in parts), np.zeros(len(w) * (len(w) + 1)))
+                yield pa.RecordBatch.from_pydict({"s": pa.array([out.tolist()])})
+
+            return np.sum([r["s"] for r in features.select("key", "yes", "n").mapInArrow(part, "s array<double>").collect()] or [np.zeros(len(w) * (len(w) + 1))], axis=0)
+
+        return [(r["kind"], bytes(r["key"]), r["yes"], r["n"]) for r in rows.filter("kind <> 'x'").collect()], sums
+
+    return Lexicon(over=over)
+
+
+def _batch(t: Tally) -> pa.RecordBatch:
+    kind, key, yes, n = zip(*t.rows()) if t.all else ((), (), (), ())
+    return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.string()), "key": pa.array(key, pa.binary()), "yes": pa.array(yes, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
-def personal(df: DataFrame, keys: list[str], fields: dict[str, Column], sample: int = SAMPLE, with_text: bool = False) -> DataFrame:
+def personal(df: DataFrame, keys: list[str], fields: dict[str, Column], with_text: bool = False) -> DataFrame:
     """Rows (``keys``, ``field``, ``pii_type``, ``seq``) of the items in the named texts; with ``with_text`` instead (``keys``, ``field``, ``text``), all texts redacted."""
     flat = df.select(*keys, *[c.alias(f"_f{i}") for i, c in enumerate(fields.values())])
     n = len(fields)
@@ -656,7 +745,7 @@ def personal(df: DataFrame, keys: list[str], fields: dict[str, Column], sample:
     for i in range(n):
         part = flat.select(F.col(f"_f{i}").alias("_t"))
         some = part if some is None else some.unionByName(part)
-    lex = fit(some, sample)
+    lex = fit(some)
     sent = df.sparkSession.sparkContext.broadcast(lex)
     kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
     names = list(fields)

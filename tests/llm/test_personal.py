@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from spanwright.llm.personal import Finder, Lexicon, formed, personal, redacted
+from spanwright.llm.personal import Finder, Lexicon, fit, formed, personal, redacted
 
 GIVEN = ["Ada", "Bruno", "Celine", "Dmitri", "Elif", "Farah"]
 SUR = ["Novak", "Okafor", "Petrov-Lind", "Quigley", "Rossi", "Sato"]
@@ -92,3 +92,13 @@ def test_frame(spark):
     assert sorted((r["field"], r["text"]) for r in text) == [("in", "[PERSON_NAME], [EMAIL], [PERSON_NAME]"), ("out", "x [PHONE]")]
     assert personal(df.limit(0), ["t", "s"], fields).count() == 0
     assert redacted(None, []) is None
+
+
+def test_fit_reads_all_texts(spark):
+    """A name whose only cues stand in 3 of 30,000 texts is known, and the fit over a table equals the one over a list."""
+    rare = [f"My name is Zorvath Quillby and parcel {i} is late." for i in range(3)]
+    all_ = [*(f"Crate {i} comes to the harbor." for i in range(30_000)), *rare, *texts()]
+    lex = fit(spark.createDataFrame([(t,) for t in [*all_, *rare, None, ""]], "_t string").repartition(5))
+    assert {"zorvath", "quillby"} <= lex.names and lex.total["crate"] == 30_000
+    own = Lexicon(all_)
+    assert lex.odds == {w: x for w, x in own.odds.items() if own.total[w] > 1} and (lex.shapes, lex.before, lex.after, lex.plain) == (own.shapes, own.before, own.after, own.plain)
