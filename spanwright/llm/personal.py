@@ -59,8 +59,9 @@ _NAME_AFTER_CUE = re.compile(
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?")
 
 _TOWN = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+# Possessive, as what stands behind a run of such characters never begins with one of them.
 _EMAIL = re.compile(
-    r"(?:mailto:)?[\w+-]+(?:(?:\.|\sdot\s|\s?[\[({]dot[\])}]\s?)[\w+-]+)*(?:\s?@\s?|\s?[\[({](?:at|@)[\])}]\s?|\sat\s(?=[\w-]+\sdot\s))[\w-]+(?:(?:\.|\sdot\s|\s?[\[({]dot[\])}]\s?)[a-z][\w-]*)+", re.I
+    r"(?:mailto:)?[\w+-]++(?:(?:\.|\sdot\s|\s?[\[({]dot[\])}]\s?)[\w+-]++)*(?:\s?@\s?|\s?[\[({](?:at|@)[\])}]\s?|\sat\s(?=[\w-]+\sdot\s))[\w-]++(?:(?:\.|\sdot\s|\s?[\[({]dot[\])}]\s?)[a-z][\w-]*+)+", re.I
 )
 _ID_CUE = r"(?:ssn|social\ security(?:\ (?:number|no\.?))?|nino|ni\ (?:number|no\.?)|national\ insurance(?:\ (?:number|no\.?))?|tax\ (?:id|number|no\.?)|tin|itin|steuer-?id(?:nummer)?|steuernummer|steueridentifikationsnummer|passport(?:\ (?:number|no\.?|nr\.?))?|reisepass(?:nummer)?|passeport(?:\ (?:n°|numéro))?|pasaporte|dni|nie|nif|ausweis(?:nummer|nr\.?)?|personalausweis(?:nummer)?|national\ id(?:entity)?(?:\ (?:card|number))*|identity\ (?:card|number)(?:\ (?:number|no\.?))?|id\ card(?:\ (?:number|no\.?))?|num[ée]ro\ de\ s[ée]curit[ée]\ sociale|n°\ de\ s[ée]curit[ée]\ sociale|num[ée]ro\ fiscal|sozialversicherungsnummer|n[úu]mero\ de\ (?:la\ )?seguridad\ social)"
 _ID_AFTER_CUE = re.compile(rf"\b{_ID_CUE}(?:\s*(?:is|ist|est|es|lautet|number|no\.|nr\.|:|=|\#)\s*|\s+)*\s*((?=[A-Z0-9-]*[ .-]?[A-Z0-9]*\d)[A-Z0-9]{{1,12}}(?:[ .-]?(?=[A-Z]?\d|[A-Z]\b)[A-Z0-9]{{1,9}}){{0,8}})", re.I | re.X)
@@ -99,7 +100,10 @@ _ID_WORDS = frozenset("ssn social nino ni national tax tin itin steuer steuer-id
 _SCREEN_NUMBER = re.compile(r"\+\d|\(\d|(?<![\w-])(?:0\d|\d{2,3}[-. ]\d|\d[- ]\d|\d{8}[A-Z]|[A-Z]{2}[ -]?\d{2})")
 _PHONE_CUE = re.compile(r"(?:phone|tel(?:efon|éfono|ephone)?|téléphone|mobile|cell|handy|móvil|portable|fax|call(?:ed)?(?:\ back)?(?:\ on|\ at)?|ruf\w*|anruf\w*|appel\w*|llam\w*|whatsapp|sms)\W{0,3}(?:no\.?|nr\.?|number|is|ist|est|es|:|=|on|at|under|unter|au|al)?\W{0,3}$", re.I | re.X)
 _ID_BEFORE = re.compile(rf"\b{_ID_CUE}(?:\s*(?:is|ist|est|es|lautet|number|no\.|nr\.|:|=|\#)\s*|\s+)*\W*$", re.I | re.X)
-PLACED, CUED = 2, 4
+PLACED, CUED, TOLD = 2, 4, 8
+# Of each cue for names a stretch of letters, which stands within one word.
+_TOLD_WORDS = "name this spoke issued belongs customer contact recipient owner heiße appelle nom llamo nombre regards sincerely signed grüße cordialement saludos kunde kundin client".split()
+_TOLD_WORD = re.compile("|".join(_TOLD_WORDS), re.I)
 NAME_CUE = re.compile(rf"(?i:(?:^|(?<=\W))(?:{NAME_CUES})[\s:\"]*)", re.X)
 
 # Potentials that are set. A segment's: of its form, by type; a cue for it; a word that speaks against it; a shape's log-odds are bounded by ODDS.
@@ -114,9 +118,17 @@ _F = {k: i for i, k in enumerate(FEATURES)}
 
 
 def hints(word: str) -> int:
-    """What a word hints at by itself: an address, an identity number."""
+    """What a word hints at by itself: an address, an identity number, a cue for a name."""
     low = word.lower().rstrip(".")
-    return (PLACED if low in _ADDRESS_WORDS or low.endswith(_ADDRESS_ENDS) else 0) | (CUED if low in _ID_WORDS or low.startswith(("steuer", "ausweis")) else 0)
+    return (TOLD if _TOLD_WORD.search(word) else 0) | (PLACED if low in _ADDRESS_WORDS or low.endswith(_ADDRESS_ENDS) else 0) | (CUED if low in _ID_WORDS or low.startswith(("steuer", "ausweis")) else 0)
+
+
+def hinted(text: str) -> int:
+    """What the words of a text hint at."""
+    hint = 0
+    for w in _WORD.findall(text):
+        hint |= hints(w)
+    return hint
 
 
 def shape(text: str) -> str:
@@ -136,32 +148,16 @@ class Segment:
         self.key = ("n", digits) if ("phone" in scores or "identity_number" in scores) else ("t", re.sub(r"[\W_]+", "", own))
 
 
-def segments(text: str, hint: int | None = None, shapes: dict[str, dict[str, float]] | None = None) -> tuple[list[Segment], str]:
-    """Candidate segments of a text, in their order, and the text with them blanked out. Of overlapping ones the first found stays, unless its potentials speak against it."""
-    if hint is None:
-        hint = 0
-        for w in _WORD.findall(text):
-            hint |= hints(w)
-    found: list[Segment] = []
-
-    def offer(lo: int, hi: int, scores: dict[str, float]) -> None:
-        if shapes and ("phone" in scores or "identity_number" in scores):
-            told = shapes.get(shape(text[lo:hi]))
-            if told:
-                scores = {k: v + told.get(k, 0.0) for k, v in scores.items()}
-        for f in [f for f in found if f.lo < hi and lo < f.hi]:
-            if max(f.scores.values()) > 0:
-                return
-            found.remove(f)
-        found.append(Segment(text, lo, hi, scores))
-
+def candidates(text: str, hint: int) -> list[tuple[int, int, dict[str, float]]]:
+    """The stretches of a text that have a form, with the potentials that form and cue give them as each type, in the order of their precedence."""
+    out: list[tuple[int, int, dict[str, float]]] = []
     if "@" in text or " dot " in text or " DOT " in text or "at]" in text or "at)" in text or "at}" in text or "AT]" in text or "AT)" in text or "AT}" in text:
         for m in _EMAIL.finditer(text):
-            offer(*m.span(), {"email": FORM["email"]})
+            out.append((*m.span(), {"email": FORM["email"]}))
     if hint & CUED:
         for m in _ID_AFTER_CUE.finditer(text):
             if sum(c.isdigit() for c in m[1]) >= 5:
-                offer(*m.span(1), {"identity_number": FORM["identity_number"] + CUE})
+                out.append((*m.span(1), {"identity_number": FORM["identity_number"] + CUE}))
     if _SCREEN_NUMBER.search(text):
         for m in _PHONE.finditer(text):
             n = sum(c.isdigit() for c in re.split(r"ext|x", m[0], flags=re.I)[0])
@@ -171,13 +167,32 @@ def segments(text: str, hint: int | None = None, shapes: dict[str, dict[str, flo
                 scores = {"phone": FORM["phone"] + against + (CUE if _PHONE_CUE.search(front) else 0.0)}
                 if _ID_FORM.fullmatch(m[0]):
                     scores = {"phone": scores["phone"] - FORM["phone"], "identity_number": FORM["identity_number"] + against}
-                offer(*m.span(), scores)
+                out.append((*m.span(), scores))
         for m in _ID_FORM.finditer(text):
             against = AGAINST if _NOT_ID.search(text[max(0, m.start() - 24) : m.start()]) else 0.0
-            offer(*m.span(), {"identity_number": FORM["identity_number"] + against})
+            out.append((*m.span(), {"identity_number": FORM["identity_number"] + against}))
     if hint & PLACED:
         for m in _ADDRESS.finditer(text):
-            offer(*m.span(), {"street_address": FORM["street_address"]})
+            out.append((*m.span(), {"street_address": FORM["street_address"]}))
+    return out
+
+
+def segments(text: str, hint: int | None = None, shapes: dict[str, dict[str, float]] | None = None, offers: list | None = None) -> tuple[list[Segment], str]:
+    """Candidate segments of a text (``offers``: its candidates where known), in their order, and the text with them blanked out. Of overlapping ones the first found stays, unless its potentials speak against it."""
+    if offers is None:
+        offers = candidates(text, hinted(text) if hint is None else hint)
+    found: list[Segment] = []
+    for lo, hi, scores in offers:
+        if shapes and ("phone" in scores or "identity_number" in scores):
+            told = shapes.get(shape(text[lo:hi]))
+            if told:
+                scores = {k: v + told.get(k, 0.0) for k, v in scores.items()}
+        over = [f for f in found if f.lo < hi and lo < f.hi]
+        kept = next((k for k, f in enumerate(over) if max(f.scores.values()) > 0), None)
+        for f in over[:kept]:
+            found.remove(f)
+        if kept is None:
+            found.append(Segment(text, lo, hi, scores))
     found.sort(key=lambda f: f.lo)
     for f in found:
         text = text[: f.lo] + "\x00" * (f.hi - f.lo) + text[f.hi :]
@@ -242,6 +257,7 @@ class Lexicon:
         self.odds = {w: float(np.clip(np.log((name[w] + 0.3) / (max(0, n - name[w]) + 0.3)), -8, 4)) for w, n in total.items() if w not in TITLES and w not in PARTICLES}
         self.names = frozenset(w for w, x in self.odds.items() if x > 0)
         self.known: dict[str, tuple] = {}
+        self.kind: dict[str, tuple] = {}
 
     def _relearn(self, rows: list, sums: Callable, name: Counter[str], total: Counter[str], last: bool) -> None:
         of: dict[str, dict[str, tuple[int, int]]] = defaultdict(dict)
@@ -260,14 +276,14 @@ class Lexicon:
         # Two new words with capitals and nothing else are no name, however many of the sample's single words are.
         weights[_F["new_capital"]] = min(weights[_F["new_capital"]], NEW)
         self.weights, self.plain = weights, weights.tolist()
-        self.known = {}
+        self.known, self.kind = {}, {}
 
     def score(self, word: str) -> float | None:
         known = [self.odds[p] for p in _parts(word) if p in self.odds and self.total[p] > 1]
         return sum(known) / len(known) if known else None
 
     def word(self, w: str) -> tuple:
-        """(lower case, title, initial, capital, features, their weighted sum) of a word."""
+        """(lower case, title, initial, capital, features, their weighted sum, spelling that groups go by) of a word."""
         got = self.known.get(w)
         if got is None:
             low = w.lower().rstrip(".")
@@ -288,7 +304,7 @@ class Lexicon:
                     f[_F["short"]] = len(low) <= 2
             if len(self.known) > KEPT_WORDS:
                 self.known = {}
-            got = self.known[w] = (low, title, ini, upper, f, float(f @ self.weights))
+            got = self.known[w] = (low, title, ini, upper, f, float(f @ self.weights), _folded(low))
         return got
 
 
@@ -315,10 +331,20 @@ _EXTRA = [_F["before"], _F["after"], _F["titled"], _F["cue"]]
 
 def _told(texts: list[str], t: Tally) -> None:
     """What cue phrases say of words and shapes."""
+    known: dict[str, int] = {}
+    count: Counter[str] = Counter()
     for text in texts:
-        found, masked = segments(text)
-        t.all.update(("w", p) for w in _WORD.findall(masked) for p in _parts(w) if len(p) > 1)
-        for m in _NAME_AFTER_CUE.finditer(masked):
+        words, hint = _WORD.findall(text), 0
+        for w in words:
+            h = known.get(w)
+            if h is None:
+                if len(known) > KEPT_WORDS:
+                    known = {}
+                h = known[w] = hints(w)
+            hint |= h
+        found, masked = segments(text, hint)
+        count.update(_WORD.findall(masked) if found else words)
+        for m in _NAME_AFTER_CUE.finditer(masked) if hint & TOLD else ():
             t.yes.update(("w", p) for w in _WORD.findall(m[1]) for p in _parts(w) if len(p) > 1)
         for f in found:
             if "phone" in f.scores or "identity_number" in f.scores:
@@ -326,13 +352,17 @@ def _told(texts: list[str], t: Tally) -> None:
                 told = "against" if _NOT_ID.search(front[-24:]) else "identity_number" if _ID_BEFORE.search(front) else "phone" if _PHONE_CUE.search(front) else None
                 if told:
                     t.all["s", f"{shape(text[f.lo : f.hi])}\x1f{told}"] += 1
+    for w, n in count.items():
+        for p in _parts(w):
+            if len(p) > 1:
+                t.all["w", p] += n
 
 
 def _relabelled(texts: list[str], t: Tally, lex: Lexicon, last: bool) -> None:
     """What the field's own labels say of words and contexts, and of features at last."""
     # What goes around the field has no names under it, and says nothing of contexts.
     screen = Finder(lex)
-    docs = [Doc(x, lex) for x in texts if screen.possible(x)]
+    docs = [Doc(x, lex, *told) for x in texts if (told := screen.possible(x))]
     for d, y in zip(docs, _labels(docs)):
         n = len(d.words)
         for i in range(n):
@@ -390,8 +420,10 @@ def _fitted(sums: Callable, start: np.ndarray, strength: float = 25.0) -> np.nda
 class Doc:
     """The tokens of a text, their potentials, and the groups that skip potentials bind."""
 
-    def __init__(self, text: str, lex: Lexicon, hint: int | None = None) -> None:
-        found, masked = segments(text, hint, lex.shapes)
+    def __init__(self, text: str, lex: Lexicon, hint: int | None = None, offers: list | None = None) -> None:
+        if hint is None:
+            hint = hinted(text)
+        found, masked = segments(text, hint, lex.shapes, offers)
         self.text, self.masked = text, masked
         tokens: list[tuple[int, int, str, Segment | None]] = [(f.lo, f.hi, "", f) for f in found]
         for m in _WORD.finditer(masked):
@@ -404,12 +436,12 @@ class Doc:
         n = len(tokens)
         self.at = [(t[0], t[1]) for t in tokens]
         self.segment = [t[3] for t in tokens]
-        facts = [lex.word(t[2]) if t[3] is None else ("\x00", False, False, False, None, 0.0) for t in tokens]
+        facts = [lex.word(t[2]) if t[3] is None else ("\x00", False, False, False, None, 0.0, "\x00") for t in tokens]
         self.words = [f[0] for f in facts]
         self.title, self.initial, self.upper = [f[1] for f in facts], [f[2] for f in facts], [f[3] for f in facts]
         # What separates a token from the one before: 0 space, 1 comma, 2 other; 3: it is a segment.
         trans = [2] * n
-        cues = {m.end() for m in NAME_CUE.finditer(masked)} if n else set()
+        cues = {m.end() for m in NAME_CUE.finditer(masked)} if n and hint & TOLD else set()
         for i in range(n):
             if self.segment[i] is not None:
                 trans[i] = 3
@@ -443,19 +475,20 @@ class Doc:
     def _groups(self, n: int) -> list[list[int]]:
         same: dict[object, list[int]] = defaultdict(list)
         similar: dict[str, str] = {}
+        folded = [f[6] for f in self.facts]
         for i in range(n):
             s = self.segment[i]
             if s is not None:
                 same[s.key].append(i)
                 continue
-            w = _folded(self.words[i])
+            w = folded[i]
             if len(w) > 2:
                 same["w", w].append(i)
                 if self.upper[i] and len(w) >= 6:
                     similar.setdefault(w, w)
             # An initial, and a given name with it, before the same surname.
             if i + 1 < n and self.segment[i + 1] is None and self.trans[i + 1] == 0 and w and (self.initial[i] or self.upper[i]):
-                same["i", w[0], _folded(self.words[i + 1])].append(i)
+                same["i", w[0], folded[i + 1]].append(i)
         if len(similar) > 1:  # words one letter apart are one group
             forms: dict[str, str] = {}
             up = similar
@@ -621,29 +654,29 @@ class Finder:
     """Items of texts; equal texts are read once while they are kept."""
 
     def __init__(self, lex: Lexicon, screen: bool = True) -> None:
-        self.lex, self.known, self.kind, self.screen = lex, {}, {}, screen
+        self.lex, self.known, self.screen = lex, {}, screen
 
     def _facts(self, w: str) -> tuple[int, float, float, float, bool, str, bool]:
         """(hint, own weighted sum, what it can add to a word behind, to one in front, whether a title, spelling that groups go by, whether a capital) of a word."""
         bare = w[:-1] if w.endswith(".") and not (len(w) == 2 and w[0].isupper()) and w[:-1].lower() not in TITLES else w
-        low, title, _, upper, _, s = self.lex.word(bare)
+        low, title, _, upper, _, s, folded = self.lex.word(bare)
         wt = self.lex.plain
-        if len(self.kind) > KEPT_WORDS:
-            self.kind = {}
-        got = self.kind[w] = (hints(w), s, max(0.0, wt[_F["before"]] * self.lex.before.get(low, 0.0)), max(0.0, wt[_F["after"]] * self.lex.after.get(low, 0.0)), title, _folded(bare), upper)
+        if len(self.lex.kind) > KEPT_WORDS:
+            self.lex.kind.clear()
+        got = self.lex.kind[w] = (hints(w), s, max(0.0, wt[_F["before"]] * self.lex.before.get(low, 0.0)), max(0.0, wt[_F["after"]] * self.lex.after.get(low, 0.0)), title, folded, upper)
         return got
 
-    def _hopeless(self, facts: list[tuple], text: str) -> bool:
+    def _hopeless(self, facts: list[tuple], text: str, hint: int) -> bool:
         """Whether no token can gain by being part of a name: its own sum, its neighbours, a cue, its groups and the chain at their highest.
 
         A group's message favours a label by ``_SKIP`` at most; a token is in two groups at most.
         """
         n = len(facts)
-        bound = _MOST_CHAIN + (max(0.0, self.lex.plain[_F["cue"]]) if NAME_CUE.search(text) else 0.0)
+        bound = _MOST_CHAIN + (max(0.0, self.lex.plain[_F["cue"]]) if hint & TOLD and NAME_CUE.search(text) else 0.0)
         names = [f[5] for f in facts]
         once = len(set(names)) == n
         count = {} if once else Counter(names)
-        long = sum(f[6] and len(f[5]) >= 6 for f in facts) > 1
+        long = None  # whether two words may be one letter apart; looked at if it matters
         last = 0.0
         for i, f in enumerate(facts):
             if f[4]:
@@ -653,21 +686,28 @@ class Finder:
                 s += facts[i + 1][3]
                 if not once and f[6] and count[names[i + 1]] > 1:
                     s += _SKIP
-            if s > -_SKIP and (s > 0 or (not once and count[names[i]] > 1) or (long and f[6] and len(f[5]) >= 6)):
-                return False
+            if s > -_SKIP:
+                if s > 0 or (not once and count[names[i]] > 1):
+                    return False
+                if f[6] and len(f[5]) >= 6:
+                    if long is None:
+                        long = sum(f[6] and len(f[5]) >= 6 for f in facts) > 1
+                    if long:
+                        return False
             last = f[2]
         return True
 
-    def possible(self, text: str) -> int | None:
-        """Whether a text may hold an item: the hints of its words plus one, or None."""
-        get = self.kind.get
+    def possible(self, text: str) -> tuple[int, list] | None:
+        """The hints of a text's words and its candidates, or None if it can't hold an item."""
+        get = self.lex.kind.get
         facts = [get(w) or self._facts(w) for w in _WORD.findall(text)]
         hint = 0
         for f in facts:
             hint |= f[0]
-        if self.screen and not hint and self._hopeless(facts, text) and not segments(text, hint)[0]:
+        offers = candidates(text, hint)
+        if self.screen and not offers and not hint & (PLACED | CUED) and self._hopeless(facts, text, hint):
             return None
-        return hint + 1
+        return hint, offers
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         fresh = [t for t in dict.fromkeys(texts) if t and t not in self.known]
@@ -676,11 +716,11 @@ class Finder:
             fresh = [t for t in dict.fromkeys(texts) if t]
         todo: list[Doc] = []
         for t in fresh:
-            hint = self.possible(t)
-            if hint is None:
+            told = self.possible(t)
+            if told is None:
                 self.known[t] = []
             else:
-                todo.append(Doc(t, self.lex, hint - 1))
+                todo.append(Doc(t, self.lex, *told))
         for d, y in zip(todo, _labels(todo)):
             self.known[d.text] = d.decode(y)
         return [self.known[t] if t else [] for t in texts]
