@@ -16,6 +16,9 @@ Fit. All distinct texts are labelled by cue phrases. Log-odds come from these la
 then fitted on these by penalised logistic regression, given the neighbours' labels. Words that the texts hold once stand in for those they don't hold.
 Chain and skip potentials are set. All rows are then labelled.
 
+Texts that differ in digits only, and not in a digit that a form asks for by its value, have one form (``same``): equal candidates, words and labels. The fit reads each form
+once, with the number of distinct texts of it; the labels of a form hold for all its texts, but for the types of segments that are equal in some of them only.
+
 A text goes around the field only if it has no segment and no word that could be part of a name under the highest potentials that its neighbours,
 repetitions and the chain allow, in which case the field labels none.
 
@@ -39,7 +42,8 @@ from pyspark.sql import functions as F
 
 from spanwright.session import Scratch
 
-KEPT_TEXTS = 20_000
+KEPT_BYTES = 64_000_000  # of forms, each with FORM_BYTES besides
+FORM_BYTES = 200
 KEPT_WORDS = 200_000
 KEPT_COUNTS = 500_000
 ROUNDS = 100  # of messages, where these don't come to rest before
@@ -117,6 +121,25 @@ CONTEXT = 2.0  # bound of the log-odds of contexts
 _F = {k: i for i, k in enumerate(FEATURES)}
 
 
+# Digits that no pattern tells from a 9, for Python and Java. By its value _PHONE alone asks for a digit: for a 0 or 1 behind no word character, the 0 before a digit, the 1 before
+# a hyphen, full stop or space; so does _SCREEN_NUMBER for a 0.
+SAME_AS_9 = r"""[2-8]|(?<=[0-9A-Za-z_])[01]|1(?![^0-9A-Za-z_,:;"'})\]/#])|0(?![^A-Za-z_ .,:;"'})\]/#-])"""
+_OWN_DIGIT = re.compile(rb"""(?<![0-9A-Za-z_])(?:1(?=[^0-9A-Za-z_,:;"'})\]/#])|0(?=[^A-Za-z_ .,:;"'})\]/#-]))""")
+_TO_9 = bytes.maketrans(b"012345678", b"9" * 9)
+
+
+def same(text: str) -> bytes:
+    """The form of a text: its UTF-8 with 9 for each digit of ``SAME_AS_9``."""
+    raw = text.encode("utf-8", "surrogatepass")
+    out = raw.translate(_TO_9)
+    own = [m.start() for m in _OWN_DIGIT.finditer(raw)] if b"0" in raw or b"1" in raw else []
+    if own:
+        out = bytearray(out)
+        for i in own:
+            out[i] = raw[i]
+    return bytes(out)
+
+
 def hints(word: str) -> int:
     """What a word hints at by itself: an address, an identity number, a cue for a name."""
     low = word.lower().rstrip(".")
@@ -223,12 +246,12 @@ class Lexicon:
     """What the field knows of words, contexts, shapes and weights; fitted on texts (see the module's text)."""
 
     def __init__(self, texts: list[str] | None = None, over: Callable | None = None) -> None:
-        """``over``, instead of ``texts``: runs a reading function over all distinct texts and gives its tally's rows and the regression's sums."""
-        own = list(dict.fromkeys(texts or []))
+        """``over``, instead of ``texts``: runs a reading function over the forms of all distinct texts and gives its tally's rows and the regression's sums."""
+        own = Counter(same(t).decode("utf-8", "surrogatepass") for t in dict.fromkeys(texts or []))
 
         def local(read: Callable) -> tuple[list, Callable]:
             t = Tally()
-            read(own, t)
+            read(list(own), list(own.values()), t)
             rows = list(t.rows())
             x, yes, all_ = _arrays([r for r in rows if r[0] == "x"])
             return [r for r in rows if r[0] != "x"], lambda w: _sums(x, yes, all_, w)
@@ -329,11 +352,11 @@ class Tally:
 _EXTRA = [_F["before"], _F["after"], _F["titled"], _F["cue"]]
 
 
-def _told(texts: list[str], t: Tally) -> None:
-    """What cue phrases say of words and shapes."""
+def _told(texts: list[str], times: list[int], t: Tally) -> None:
+    """What cue phrases say of words and shapes, in texts that stand for so many (``times``) each."""
     known: dict[str, int] = {}
     count: Counter[str] = Counter()
-    for text in texts:
+    for text, n in zip(texts, times):
         words, hint = _WORD.findall(text), 0
         for w in words:
             h = known.get(w)
@@ -343,34 +366,38 @@ def _told(texts: list[str], t: Tally) -> None:
                 h = known[w] = hints(w)
             hint |= h
         found, masked = segments(text, hint)
-        count.update(_WORD.findall(masked) if found else words)
+        for w in _WORD.findall(masked) if found else words:
+            count[w] += n
         for m in _NAME_AFTER_CUE.finditer(masked) if hint & TOLD else ():
-            t.yes.update(("w", p) for w in _WORD.findall(m[1]) for p in _parts(w) if len(p) > 1)
+            for p in [p for w in _WORD.findall(m[1]) for p in _parts(w) if len(p) > 1]:
+                t.yes["w", p] += n
         for f in found:
             if "phone" in f.scores or "identity_number" in f.scores:
                 front = text[max(0, f.lo - 40) : f.lo]
                 told = "against" if _NOT_ID.search(front[-24:]) else "identity_number" if _ID_BEFORE.search(front) else "phone" if _PHONE_CUE.search(front) else None
                 if told:
-                    t.all["s", f"{shape(text[f.lo : f.hi])}\x1f{told}"] += 1
+                    t.all["s", f"{shape(text[f.lo : f.hi])}\x1f{told}"] += n
     for w, n in count.items():
         for p in _parts(w):
             if len(p) > 1:
                 t.all["w", p] += n
 
 
-def _relabelled(texts: list[str], t: Tally, lex: Lexicon, last: bool) -> None:
-    """What the field's own labels say of words and contexts, and of features at last."""
+def _relabelled(texts: list[str], times: list[int], t: Tally, lex: Lexicon, last: bool) -> None:
+    """What the field's own labels say of words and contexts, and of features at last; ``times`` as above."""
     # What goes around the field has no names under it, and says nothing of contexts.
     screen = Finder(lex)
-    docs = [Doc(x, lex, *told) for x in texts if (told := screen.possible(x))]
-    for d, y in zip(docs, _labels(docs)):
+    some = [(Doc(x, lex, *told), c) for x, c in zip(texts, times) if (told := screen.possible(x))]
+    for (d, c), y in zip(some, _labels([d for d, _ in some])):
         n = len(d.words)
         for i in range(n):
             if d.segment[i] is not None:
                 continue
             is_name = bool(y[i] > 0)
             if is_name:
-                t.all.update(("a", p) for p in _parts(d.words[i]) if len(p) > 1)
+                for p in _parts(d.words[i]):
+                    if len(p) > 1:
+                        t.all["a", p] += c
             if d.upper[i] and not d.title[i]:
                 keys = [("n", "")]
                 if i and d.trans[i] != 2 and not y[i - 1]:
@@ -378,16 +405,16 @@ def _relabelled(texts: list[str], t: Tally, lex: Lexicon, last: bool) -> None:
                 if i + 1 < n and d.trans[i + 1] != 2 and not y[i + 1]:
                     keys.append(("b", d.words[i + 1]))
                 for k in keys:
-                    t.all[k] += 1
-                    t.yes[k] += is_name
+                    t.all[k] += c
+                    t.yes[k] += c * is_name
             if last and not d.title[i]:
                 left, right = (y[i - 1] if i else 0), (y[i + 1] if i + 1 < n else 0)
                 chain = _CHAIN[d.trans[i]]
                 as_name = max(chain[left, 1], chain[left, 2])
                 off = as_name - chain[left, 0] + (_CHAIN[d.trans[i + 1]][2, right] - _CHAIN[d.trans[i + 1]][0, right] if i + 1 < n and right < 2 else 0.0)
                 k = ("x", d.facts[i][4].tobytes(), d.extra[i], float(off))
-                t.all[k] += 1
-                t.yes[k] += is_name
+                t.all[k] += c
+                t.yes[k] += c * is_name
 
 
 def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -513,6 +540,14 @@ class Doc:
                     same["w", top(w)] += same.pop(("w", w), [])
         return [g for g in same.values() if len(g) > 1]
 
+    def apart(self) -> bool:
+        """Whether in no text of this one's form two segments are equal."""
+        found = [s for s in self.segment if s is not None]
+        if len(found) < 2:
+            return True
+        nines = self.text.encode("utf-8", "surrogatepass").translate(_TO_9).decode("utf-8", "surrogatepass")
+        return len({Segment(nines, s.lo, s.hi, s.scores).key for s in found}) == len(found)
+
     def types(self) -> dict[int, str | None]:
         """The type of each segment: its potentials and, of equal segments, those of all through their shared variable; None: no item."""
         names = [None, *FORM]
@@ -651,10 +686,10 @@ def _labels(docs: list[Doc]) -> list[np.ndarray]:
 
 
 class Finder:
-    """Items of texts; equal texts are read once while they are kept."""
+    """Items of texts; texts of one form are read once while it is kept."""
 
     def __init__(self, lex: Lexicon, screen: bool = True) -> None:
-        self.lex, self.known, self.screen = lex, {}, screen
+        self.lex, self.known, self.size, self.screen = lex, {}, 0, screen
 
     def _facts(self, w: str) -> tuple[int, float, float, float, bool, str, bool]:
         """(hint, own weighted sum, what it can add to a word behind, to one in front, whether a title, spelling that groups go by, whether a capital) of a word."""
@@ -710,20 +745,27 @@ class Finder:
         return hint, offers
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-        fresh = [t for t in dict.fromkeys(texts) if t and t not in self.known]
-        if len(self.known) + len(fresh) > KEPT_TEXTS:
-            self.known = {}
-            fresh = [t for t in dict.fromkeys(texts) if t]
-        todo: list[Doc] = []
-        for t in fresh:
+        if self.size > KEPT_BYTES:
+            self.known, self.size = {}, 0
+        forms = [same(t) if t else b"" for t in texts]
+        fresh = {k: t for t, k in zip(texts, forms) if k and k not in self.known}
+        todo: list[tuple[bytes, Doc, tuple]] = []
+        for k, t in fresh.items():
             told = self.possible(t)
-            if told is None:
-                self.known[t] = []
-            else:
-                todo.append(Doc(t, self.lex, *told))
-        for d, y in zip(todo, _labels(todo)):
-            self.known[d.text] = d.decode(y)
-        return [self.known[t] if t else [] for t in texts]
+            self.known[k] = []
+            self.size += len(k) + FORM_BYTES
+            if told is not None:
+                todo.append((k, Doc(t, self.lex, *told), told))
+        for (k, d, told), y in zip(todo, _labels([d for _, d, _ in todo])):
+            self.known[k] = d.decode(y) if d.apart() else (told, y)
+        out, own = [], {}
+        for t, k in zip(texts, forms):
+            items = self.known[k] if t else []
+            if isinstance(items, tuple):  # what segments are equal differs by text
+                told, y = items
+                items = own[t] = own.get(t) or Doc(t, self.lex, *told).decode(y)
+            out.append(items)
+        return out
 
 
 def redacted(text: str | None, items: list[tuple[int, int, str]]) -> str | None:
@@ -737,11 +779,12 @@ def redacted(text: str | None, items: list[tuple[int, int, str]]) -> str | None:
 
 
 def fit(texts: DataFrame) -> Lexicon:
-    """Fits on all distinct texts (column ``_t``). Counts add up in partitions, then by key; the driver gets words that stand in the texts more than once, contexts, shapes
+    """Fits on all distinct texts (column ``_t``), read by form. Counts add up in partitions, then by key; the driver gets words that stand in the texts more than once, contexts, shapes
     and sums of the regression."""
     spark = texts.sparkSession
     scratch = Scratch(spark, "fit")
-    own = scratch.keep(texts.filter("_t <> ''").distinct())
+    own = texts.filter("_t <> ''").distinct()
+    own = scratch.keep(own.groupBy(F.regexp_replace("_t", SAME_AS_9, "9").alias("_t")).agg(F.count(F.lit(1)).alias("n")))
 
     def over(read: Callable) -> tuple[list, Callable]:
         sent = spark.sparkContext.broadcast(read)
@@ -749,7 +792,7 @@ def fit(texts: DataFrame) -> Lexicon:
         def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = Tally()
             for b in parts:
-                sent.value(b.column(0).to_pylist(), t)
+                sent.value(b.column(0).to_pylist(), b.column(1).to_pylist(), t)
                 if len(t.all) > KEPT_COUNTS:
                     yield _batch(t)
                     t = Tally()
