@@ -52,13 +52,13 @@ TYPES = ["email", "phone", "identity_number", "street_address", "person_name"]
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 
 # Forms and cue words.
-TITLES = "mr mrs ms miss mx dr prof professor sir madam frau herr fräulein mme mlle monsieur madame m señor señora señorita sr sra srta don doña dott ing".split()
+TITLES = frozenset("mr mrs ms miss mx dr prof professor sir madam frau herr fräulein mme mlle monsieur madame m señor señora señorita sr sra srta don doña dott ing".split())
 NAME_CUES = r"""my\ name\ is|this\ is|spoke\ (?:with|to)|issued\ to|belongs\ to|customer|contact:?|recipient"?:?|owner"?:|name=|mein\ name\ ist|ich\ heiße|je\ m['’]appelle|mon\ nom\ est|me\ llamo|mi\ nombre\ es|(?:kind\ |best\ )?regards,?|sincerely,?|signed,?|grüße,?|cordialement,?|saludos,?|kunde|kundin|client|cliente"""
 PARTICLES = {"de", "van", "von", "der", "den", "del", "la", "le", "du", "da", "di", "bin", "al"}
 
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’-][^\W\d_]+)*"
 _NAME_AFTER_CUE = re.compile(
-    rf"""(?:(?<=[\s(\["|;:])|^)(?i:{NAME_CUES})[\s:"]*((?:(?i:{"|".join(TITLES)})\.?\s+)?(?:{_CAP}\.?(?:,?[ ]|$|(?=\W))){{1,4}})""", re.X
+    rf"""(?:(?<=[\s(\["|;:])|^)(?i:{NAME_CUES})[\s:"]*((?:(?i:{"|".join(sorted(TITLES))})\.?\s+)?(?:{_CAP}\.?(?:,?[ ]|$|(?=\W))){{1,4}})""", re.X
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?")
 
@@ -101,7 +101,10 @@ _PHONE = re.compile(
 _ADDRESS_WORDS = frozenset("street st road rd lane ln avenue ave av court ct terrace boulevard blvd drive way place square close crescent row gardens mews hill quay platz weg allee gasse ufer ring damm steig str straße strasse rue chemin allée impasse quai calle avenida avda plaza paseo camino carretera c".split())
 _ADDRESS_ENDS = ("straße", "strasse", "str", "weg", "platz", "allee", "gasse", "ufer", "ring", "damm", "steig")
 _ID_WORDS = frozenset("ssn social nino ni national tax tin itin steuer steuer-id steueridentifikationsnummer steuernummer passport reisepass reisepassnummer passeport pasaporte dni nie nif ausweis ausweisnummer ausweisnr personalausweis personalausweisnummer identity id sécurité securite numéro numero número sozialversicherungsnummer seguridad".split())
-_SCREEN_NUMBER = re.compile(r"\+\d|\(\d|(?<![\w-])(?:0\d|\d{2,3}[-. ]\d|\d[- ]\d|\d{8}[A-Z]|[A-Z]{2}[ -]?\d{2})")
+# These begin with a set of characters, which is what the search is quick for; what stands before is looked at behind it. Without the second and third no phone or identity number begins.
+_SCREEN_NUMBER = re.compile(r"[+(\dA-Z](?:(?<=[+(])\d|(?<![\w-].)(?:(?<=0)\d|(?<=\d)(?:\d{1,2}[-. ]\d|[- ]\d|\d{7}[A-Z])|(?<=[A-Z])[A-Z][ -]?\d{2}))")
+_SCREEN_PHONE = re.compile(r"[+(\d](?<![\w#+./-].)(?:(?<=[+(0])\d|(?<=1)[-.\s]|(?<=\d)\d\d[-.\s]\d{3}[-.\s])")
+_SCREEN_ID = re.compile(r"[\dA-Z](?<![\w-].)(?:(?<=\d)(?:\d\d-\d\d-|\d{7}[A-Z]|\d-\d{7}-| \d\d \d\d |\d \d{3} \d{3})|(?<=[A-Z])[A-Z](?: ?\d\d|-\d{8}))")
 _PHONE_CUE = re.compile(r"(?:phone|tel(?:efon|éfono|ephone)?|téléphone|mobile|cell|handy|móvil|portable|fax|call(?:ed)?(?:\ back)?(?:\ on|\ at)?|ruf\w*|anruf\w*|appel\w*|llam\w*|whatsapp|sms)\W{0,3}(?:no\.?|nr\.?|number|is|ist|est|es|:|=|on|at|under|unter|au|al)?\W{0,3}$", re.I | re.X)
 _ID_BEFORE = re.compile(rf"\b{_ID_CUE}(?:\s*(?:is|ist|est|es|lautet|number|no\.|nr\.|:|=|\#)\s*|\s+)*\W*$", re.I | re.X)
 PLACED, CUED, TOLD = 2, 4, 8
@@ -182,7 +185,7 @@ def candidates(text: str, hint: int) -> list[tuple[int, int, dict[str, float]]]:
             if sum(c.isdigit() for c in m[1]) >= 5:
                 out.append((*m.span(1), {"identity_number": FORM["identity_number"] + CUE}))
     if _SCREEN_NUMBER.search(text):
-        for m in _PHONE.finditer(text):
+        for m in _PHONE.finditer(text) if _SCREEN_PHONE.search(text) else ():
             n = sum(c.isdigit() for c in re.split(r"ext|x", m[0], flags=re.I)[0])
             if 8 <= n <= 15:
                 front = text[max(0, m.start() - 24) : m.start()]
@@ -191,7 +194,7 @@ def candidates(text: str, hint: int) -> list[tuple[int, int, dict[str, float]]]:
                 if _ID_FORM.fullmatch(m[0]):
                     scores = {"phone": scores["phone"] - FORM["phone"], "identity_number": FORM["identity_number"] + against}
                 out.append((*m.span(), scores))
-        for m in _ID_FORM.finditer(text):
+        for m in _ID_FORM.finditer(text) if _SCREEN_ID.search(text) else ():
             against = AGAINST if _NOT_ID.search(text[max(0, m.start() - 24) : m.start()]) else 0.0
             out.append((*m.span(), {"identity_number": FORM["identity_number"] + against}))
     if hint & PLACED:
@@ -327,7 +330,7 @@ class Lexicon:
                     f[_F["short"]] = len(low) <= 2
             if len(self.known) > KEPT_WORDS:
                 self.known = {}
-            got = self.known[w] = (low, title, ini, upper, f, float(f @ self.weights), _folded(low))
+            got = self.known[w] = (low, title, ini, upper, f.tobytes(), float(f @ self.weights), _folded(low))
         return got
 
 
@@ -389,7 +392,7 @@ def _relabelled(texts: list[str], times: list[int], t: Tally, lex: Lexicon, last
     screen = Finder(lex)
     some = [(Doc(x, lex, *told), c) for x, c in zip(texts, times) if (told := screen.possible(x))]
     for (d, c), y in zip(some, _labels([d for d, _ in some])):
-        n = len(d.words)
+        n, y = len(d.words), y.tolist()
         for i in range(n):
             if d.segment[i] is not None:
                 continue
@@ -409,10 +412,8 @@ def _relabelled(texts: list[str], times: list[int], t: Tally, lex: Lexicon, last
                     t.yes[k] += c * is_name
             if last and not d.title[i]:
                 left, right = (y[i - 1] if i else 0), (y[i + 1] if i + 1 < n else 0)
-                chain = _CHAIN[d.trans[i]]
-                as_name = max(chain[left, 1], chain[left, 2])
-                off = as_name - chain[left, 0] + (_CHAIN[d.trans[i + 1]][2, right] - _CHAIN[d.trans[i + 1]][0, right] if i + 1 < n and right < 2 else 0.0)
-                k = ("x", d.facts[i][4].tobytes(), d.extra[i], float(off))
+                off = _AS_NAME[d.trans[i]][left] + (_BEFORE[d.trans[i + 1]][right] if i + 1 < n and right < 2 else 0.0)
+                k = ("x", d.facts[i][4], d.extra[i], off)
                 t.all[k] += c
                 t.yes[k] += c * is_name
 
@@ -444,6 +445,9 @@ def _fitted(sums: Callable, start: np.ndarray, strength: float = 25.0) -> np.nda
     return np.round(w, 6)
 
 
+_NO_WORD, _NO_EXTRA = ("\x00", False, False, False, None, 0.0, "\x00"), (0.0, 0.0, 0.0, 0.0)
+
+
 class Doc:
     """The tokens of a text, their potentials, and the groups that skip potentials bind."""
 
@@ -452,69 +456,79 @@ class Doc:
             hint = hinted(text)
         found, masked = segments(text, hint, lex.shapes, offers)
         self.text, self.masked = text, masked
-        tokens: list[tuple[int, int, str, Segment | None]] = [(f.lo, f.hi, "", f) for f in found]
+        tokens: list[tuple[int, int, tuple, Segment | None]] = [(f.lo, f.hi, _NO_WORD, f) for f in found]
         for m in _WORD.finditer(masked):
-            w = m[0]
-            if w.endswith(".") and not (len(w) == 2 and w[0].isupper()) and w[:-1].lower() not in TITLES:
-                w = w[:-1]
-            tokens.append((m.start(), m.start() + len(w), w, None))
+            w, (lo, hi) = m[0], m.span()
+            if w[-1] == "." and not (len(w) == 2 and w[0].isupper()) and w[:-1].lower() not in TITLES:
+                w, hi = w[:-1], hi - 1
+            tokens.append((lo, hi, lex.known.get(w) or lex.word(w), None))
         if found:
             tokens.sort(key=lambda t: t[0])
         n = len(tokens)
-        self.at = [(t[0], t[1]) for t in tokens]
-        self.segment = [t[3] for t in tokens]
-        facts = [lex.word(t[2]) if t[3] is None else ("\x00", False, False, False, None, 0.0, "\x00") for t in tokens]
-        self.words = [f[0] for f in facts]
-        self.title, self.initial, self.upper = [f[1] for f in facts], [f[2] for f in facts], [f[3] for f in facts]
+        self.at = at = [t[:2] for t in tokens]
+        self.segment = segment = [t[3] for t in tokens]
+        facts = [t[2] for t in tokens]
+        self.words = words = [f[0] for f in facts]
+        self.title, self.initial, self.upper = title, _, upper = [f[1] for f in facts], [f[2] for f in facts], [f[3] for f in facts]
         # What separates a token from the one before: 0 space, 1 comma, 2 other; 3: it is a segment.
-        trans = [2] * n
-        cues = {m.end() for m in NAME_CUE.finditer(masked)} if n and hint & TOLD else set()
-        for i in range(n):
-            if self.segment[i] is not None:
+        self.trans = trans = [2] * n
+        cues = {m.end() for m in NAME_CUE.finditer(masked)} if n and hint & TOLD else ()
+        for i, (lo, _, _, s) in enumerate(tokens):
+            if s is not None:
                 trans[i] = 3
             elif i:
-                gap = masked[self.at[i - 1][1] : self.at[i][0]]
-                trans[i] = 0 if gap in (" ", "") or gap.isspace() and "\n" not in gap else 1 if gap.strip() == "," else 2
-        self.trans = trans
+                gap = masked[end:lo]
+                if gap == " ":
+                    trans[i] = 0
+                else:
+                    trans[i] = 0 if gap == "" or gap.isspace() and "\n" not in gap else 1 if gap.strip() == "," else 2
+            end = at[i][1]
         w = lex.plain
         wb, wa, wt, wc = w[_F["before"]], w[_F["after"]], w[_F["titled"]], w[_F["cue"]]
-        part = [0.0] * n
-        first = [0.0] * n
+        get_before, get_after = lex.before.get, lex.after.get
+        part: list[float] = []
         extra: list[tuple[float, float, float, float]] = []
-        for i in range(n):
-            if self.segment[i] is not None:
-                part[i] = first[i] = NONE
-                extra.append((0.0, 0.0, 0.0, 0.0))
+        for i, f in enumerate(facts):
+            if segment[i] is not None:
+                part.append(NONE)
+                extra.append(_NO_EXTRA)
                 continue
-            before = lex.before.get(self.words[i - 1], 0.0) if i and trans[i] != 2 and self.segment[i - 1] is None else 0.0
-            titled = 1.0 if i and self.title[i - 1] and trans[i] == 0 else 0.0
-            after = lex.after.get(self.words[i + 1], 0.0) if i + 1 < n and trans[i + 1] < 2 else 0.0
-            cue = 1.0 if self.at[i][0] in cues else 0.0
+            before = get_before(words[i - 1], 0.0) if i and trans[i] != 2 and segment[i - 1] is None else 0.0
+            titled = 1.0 if i and title[i - 1] and trans[i] == 0 else 0.0
+            after = get_after(words[i + 1], 0.0) if i + 1 < n and trans[i + 1] < 2 else 0.0
+            cue = 1.0 if at[i][0] in cues else 0.0
             extra.append((before, after, titled, cue))
-            part[i] = first[i] = TITLE_ALONE if self.title[i] else facts[i][5] + wb * before + wa * after + wt * titled + wc * cue
-        for i in range(n - 1):
-            if self.title[i] and self.segment[i + 1] is None and (self.upper[i + 1] or part[i + 1] > 0):
-                first[i] += TITLE + 0.5
+            part.append(TITLE_ALONE if title[i] else f[5] + wb * before + wa * after + wt * titled + wc * cue)
+        first = part[:]
+        if any(title):
+            for i in range(n - 1):
+                if title[i] and segment[i + 1] is None and (upper[i + 1] or part[i + 1] > 0):
+                    first[i] += TITLE + 0.5
         self.unary = np.array([[0.0] * n, first, part]).T.reshape(n, 3)
         self.facts, self.extra = facts, extra
         self.groups = self._groups(n)
 
     def _groups(self, n: int) -> list[list[int]]:
+        folded = [f[6] for f in self.facts]
+        # Without repeated words, and without two segments or two words that may be one letter apart, there are none.
+        long = {w for u, w in zip(self.upper, folded) if u and len(w) >= 6}
+        if len(set(folded)) == n and len(long) < 2:
+            return []
+        count = Counter(folded)
         same: dict[object, list[int]] = defaultdict(list)
         similar: dict[str, str] = {}
-        folded = [f[6] for f in self.facts]
         for i in range(n):
             s = self.segment[i]
             if s is not None:
                 same[s.key].append(i)
                 continue
             w = folded[i]
-            if len(w) > 2:
+            if len(w) > 2 and (count[w] > 1 or w in long):
                 same["w", w].append(i)
                 if self.upper[i] and len(w) >= 6:
                     similar.setdefault(w, w)
             # An initial, and a given name with it, before the same surname.
-            if i + 1 < n and self.segment[i + 1] is None and self.trans[i + 1] == 0 and w and (self.initial[i] or self.upper[i]):
+            if i + 1 < n and count[folded[i + 1]] > 1 and self.segment[i + 1] is None and self.trans[i + 1] == 0 and w and (self.initial[i] or self.upper[i]):
                 same["i", w[0], folded[i + 1]].append(i)
         if len(similar) > 1:  # words one letter apart are one group
             forms: dict[str, str] = {}
@@ -550,6 +564,8 @@ class Doc:
 
     def types(self) -> dict[int, str | None]:
         """The type of each segment: its potentials and, of equal segments, those of all through their shared variable; None: no item."""
+        if not any(self.segment[g[0]] is not None for g in self.groups):
+            return {i: max(FORM, key=lambda k: s.scores.get(k, NONE)) if max(s.scores.values()) > 0 else None for i, s in enumerate(self.segment) if s is not None}
         names = [None, *FORM]
         own = {i: np.array([0.0, *(s.scores.get(k, NONE) for k in FORM)]) for i, s in enumerate(self.segment) if s is not None}
         final = {i: v.copy() for i, v in own.items()}
@@ -594,6 +610,9 @@ _CHAIN = np.array(
         [[0.3, -9.0, -9.0], [0.0, -9.0, -9.0], [0.4, -9.0, -9.0]],
     ]
 )
+# What the chain adds to a token as part of a name: by the label in front, by the one behind (O or B).
+_AS_NAME = [[float(max(c[left, 1], c[left, 2]) - c[left, 0]) for left in range(3)] for c in _CHAIN]
+_BEFORE = [[float(c[2, right] - c[0, right]) for right in range(2)] for c in _CHAIN]
 # What the chain can add to a name of two or more tokens at most, a token, against O throughout: at the start and end of a text B to I gains 1.1, each further I 0.1.
 _MOST_CHAIN = 0.6
 _SKIP = 2.4
@@ -829,12 +848,12 @@ def personal(df: DataFrame, keys: list[str], fields: dict[str, Column], with_tex
         part = flat.select(F.col(f"_f{i}").alias("_t"))
         some = part if some is None else some.unionByName(part)
     lex = fit(some)
-    sent = df.sparkSession.sparkContext.broadcast(lex)
+    sent = df.sparkSession.sparkContext.broadcast(Finder(lex))  # a worker keeps it, with the forms it knows, from task to task
     kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
     names = list(fields)
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Finder(sent.value)
+        f = sent.value
         for b in parts:
             cols: list[list] = [[] for _ in range(4)]
             for i, name in enumerate(names):

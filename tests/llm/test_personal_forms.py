@@ -71,3 +71,13 @@ def test_forms_of_both_engines(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_replace("t", P.SAME_AS_9, "9").alias("f")).collect()
     assert all(r["f"].encode() == P.same(r["t"]) for r in got)
     assert P.same("(030) 1-212 10.1 a1 x0") == b"(099) 1-999 99.1 a9 x9"
+
+
+def test_screens_of_numbers_lose_none():
+    """No phone or identity number stands in a text that a screen leaves out."""
+    n = 0
+    for t in some(20_000, 6) + [f"{a}{b}" for a in ("", " ", "x", "-", "(", "#", "é", "\n") for b in ("QQ 12 34 56 C", "968-02-2766", "00765205B", "ZZ-00043850", "00-5232541-5", "0 00 00 22 876 009 00", "00 510 984 007", "1-415-555-0101", "1 (617) 555-0149", "020 7946 0356", "01.99.00.58.79", "+4 9")]:
+        phone, number = bool(P._PHONE.search(t)), bool(P._ID_FORM.search(t))
+        assert phone <= bool(P._SCREEN_PHONE.search(t)) and number <= bool(P._SCREEN_ID.search(t)), t
+        n += phone or number
+    assert n > 200
